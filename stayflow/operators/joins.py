@@ -19,45 +19,40 @@ def fits_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= _limit_bytes(df.sparkSession)
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    hot_rows: int = 10_000_000,
-    salts: int = 64,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", hot_rows: int = 10_000_000) -> DataFrame:
     """Join facts to a lookup whose `on` columns are unique.
 
     A lookup below spark.sql.autoBroadcastJoinThreshold needs no shuffle and has no skew: Spark broadcasts
-    it by itself. A larger one is joined by shuffle, with the keys above `hot_rows` fact rows spread over
-    `salts` partitions and their single lookup row repeated for each of them.
+    it by itself. A larger one is joined by shuffle, with the rows of hot keys spread over many partitions.
     """
     if fits_broadcast(lookup):
         return facts.join(lookup, on, how)
-    return salted_join(facts, lookup, on, how, hot_rows, salts)
+    return salted_join(facts, lookup, on, how, hot_rows)
 
 
-def salted_join(facts, lookup, on, how="inner", hot_rows=10_000_000, salts=64) -> DataFrame:
-    # At most (fact rows / hot_rows) keys can be hot: 100,000 narrow rows for 10^12 facts. That bound is
-    # what allows the broadcast.
+def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", hot_rows: int = 10_000_000) -> DataFrame:
+    """Shuffle join that gives every key one partition per `hot_rows` of its rows.
+
+    The lookup row of a hot key is repeated once per partition. Finding the hot keys reads only the key
+    columns and is combined on the map side.
+    """
+    # At most (fact rows / hot_rows) keys are hot: 100,000 narrow rows for 10^12 facts. That bound is what
+    # allows the broadcast.
     hot = (
         facts.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
+        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
     )
-    # The salt depends on the row and its input partition, never on row order or chance, so a task that is
-    # run again after a lost executor gives the same rows to the same reducers; equal copies of a row in
-    # different input partitions still get different salts.
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns], F.spark_partition_id()), F.lit(salts))
+    # The salt follows the input partition, never row order or chance: a task that runs again after a lost
+    # executor sends the same rows to the same reducers, and equal copies of a row spread as well as others.
+    spread = F.xxhash64(F.spark_partition_id())
     # A NULL key matches nothing, so its rows may go anywhere.
     no_key = F.lit(False)
     for name in on:
         no_key = no_key | F.col(name).isNull()
-    left = facts.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salt = F.when(no_key, F.pmod(spread, F.lit(1 << 20))).otherwise(F.pmod(spread, F.coalesce("_parts", F.lit(1))))
+    left = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", salt.cast("int")).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = lookup.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayflow.operators.joins import lookup_join
 from stayflow.operators.latest import pick_first
 from stayflow.session import reliable_checkpoint
 
@@ -44,7 +45,7 @@ def upsert(existing: DataFrame, changes: DataFrame, key: str, order: list[Column
 def update_where_key(table: DataFrame, keys: DataFrame, key: str, assignments: dict[str, Column]) -> DataFrame:
     """Assign columns on the rows whose key occurs in `keys`."""
     hits = keys.select(key).distinct().withColumn("_hit", F.lit(True))
-    joined = table.join(hits, key, "left")
+    joined = lookup_join(table, hits, [key], "left")
     new = [
         F.when(F.col("_hit"), assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c)
         for c in table.columns
@@ -52,13 +53,12 @@ def update_where_key(table: DataFrame, keys: DataFrame, key: str, assignments: d
     return joined.select(*new)
 
 
-def assign_ids(rows: DataFrame, order: list[str], id_col: str, start_after: int = 0, partitions: int | None = None) -> DataFrame:
+def assign_ids(rows: DataFrame, order: list[str], id_col: str, start_after: int = 0) -> DataFrame:
     """Number rows 1, 2, 3 … after `start_after` in the order of unique columns, without one global window.
 
     Rows are range partitioned and sorted; the sizes of the partitions give each one its offset.
     """
-    parts = partitions or max(2, rows.sparkSession.sparkContext.defaultParallelism)
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # monotonically_increasing_id holds the partition in the upper bits and the row in the lower 33. The
     # range bounds come from a sample, so the numbered rows are fixed by a checkpoint before they are
     # counted.
@@ -91,6 +91,12 @@ def keep_recent(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return df.filter(F.col(ts) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
+def write_daily(rows: DataFrame, path: str, day: str = "dt") -> None:
+    """Append to a folder per day. Rows are brought together by day first, with large days split and small
+    ones merged, so that a day gets few files and no single task."""
+    rows.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(path)
+
+
 def merge_into(spark, table: str, changes: DataFrame, key: str, columns: list[str]) -> None:
     """Upsert for table formats with MERGE (needs a catalog that supports it)."""
     changes.createOrReplaceTempView("_stayflow_changes")

@@ -169,7 +169,7 @@ def latest_with_ttl(spark, sf_dir):
 def log_daily_partition(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(X.iso_date("ts").alias("dt"), "event_id", "event_type", "props")
     out = work_dir(spark, "daily-log")
-    events.write.partitionBy("dt").parquet(out)
+    writes.write_daily(events, out)
     return spark.read.schema("event_id long, event_type string, props string, dt string").parquet(out)
 
 

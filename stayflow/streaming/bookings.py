@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayflow import fixed_values as V
-from stayflow.functions.messages import accepted, cast_booking, read_booking, rejects
+from stayflow.functions.messages import cast_booking, read_booking
 from stayflow.operators.latest import pick_first
 from stayflow.operators.writes import update_where_key
 
@@ -18,10 +18,10 @@ EVENT_COLUMNS = [
 ]
 
 
-CHANGE_SCHEMA = (
+RECORD_SCHEMA = (
     "event string, event_id string, booking_id string, property_id long, guest_name string, email string, "
     "guest_email string, phone string, guests int, check_in date, check_out date, nights int, "
-    "total_price decimal(10,2), description string, timestamp string"
+    "total_price decimal(10,2), description string, timestamp string, rejected array<string>"
 )
 
 
@@ -34,26 +34,33 @@ def enrich(good: DataFrame) -> DataFrame:
     return good.withColumns({"status": F.lit(V.STATUS_CONFIRMED), "pipeline": F.lit(V.PIPELINE_LABEL)})
 
 
-def ingest_batch(changes_path: str, rejects_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: rejected records to one folder, the last message per booking to another.
+def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: decode a batch once and write accepted and rejected records apart.
 
-    Each batch writes its own folders and replaces them when replayed, so its cost follows the batch and not
-    the table. `booking_table` merges them when read.
+    A batch is written without a shuffle into its own folder, which a replay replaces, so its cost follows
+    the batch and not the table. `booking_table` takes the last message per booking when it is read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        cast = cast_booking(read_booking(batch)).persist()
-        rejects(cast).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
-        last = pick_first(accepted(cast), ["booking_id"], last_message())
-        last.write.mode("overwrite").parquet(f"{changes_path}/batch={batch_id}")
-        cast.unpersist()
+        cast = cast_booking(read_booking(batch)).withColumn("accepted", F.size("rejected") == 0)
+        cast.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def booking_table(changes: DataFrame) -> DataFrame:
-    """The bookings after all changes."""
-    return enrich(pick_first(changes, ["booking_id"], last_message()))
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """All decoded records; filters on `accepted` skip the other folder."""
+    return spark.read.schema(f"{RECORD_SCHEMA}, batch long, accepted boolean").parquet(path)
+
+
+def booking_table(spark: SparkSession, path: str) -> DataFrame:
+    """The bookings after all accepted messages."""
+    good = ingested(spark, path).filter("accepted").drop("batch", "accepted", "rejected")
+    return enrich(pick_first(good, ["booking_id"], last_message()))
+
+
+def rejected_messages(spark: SparkSession, path: str) -> DataFrame:
+    return ingested(spark, path).filter("NOT accepted").drop("batch", "accepted")
 
 
 def confirm(bookings: DataFrame, booking_events: DataFrame, key: str) -> DataFrame:

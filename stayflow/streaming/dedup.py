@@ -19,7 +19,8 @@ def _instant(when: dt.datetime, kind: T.DataType) -> Column:
     return F.lit(when.isoformat(sep=" ")).cast(kind)
 
 
-def first_per_ttl(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int = V.TTL_PROCESSED) -> DataFrame:
+def first_per_ttl(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int = V.TTL_PROCESSED,
+                  clustered: bool = False) -> DataFrame:
     """Keep a row when its key was not kept in the `ttl_seconds` before it. Exact, over event time.
 
     Time is cut into periods as long as the ttl. A key is kept at most once per period, and what it kept two
@@ -27,28 +28,35 @@ def first_per_ttl(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_secon
     One period is one Spark job whose result is written to the shared folder; the loop is as long as the
     time range divided by the ttl, whatever the number of rows. Rows are reduced to one per key on the map
     side, so a hot key stays small.
+
+    The rows are first written in time order, which lets every period read only its own files and row
+    groups; tables that are stored that way already can skip this with `clustered`.
     """
     spark = rows.sparkSession
-    out = work_dir(spark, "first-per-ttl")
+    home = work_dir(spark, "first-per-ttl")
+    schema = rows.schema
+    kind = schema[ts].dataType
+    if not clustered:
+        rows.repartitionByRange(ts, tie).sortWithinPartitions(ts).write.parquet(f"{home}/by-time")
+        rows = spark.read.schema(schema).parquet(f"{home}/by-time")
     first, last = rows.agg(F.min(ts), F.max(ts)).first()
     if first is None:
         return rows
     ttl = dt.timedelta(seconds=ttl_seconds)
-    schema = rows.schema
-    kind = schema[ts].dataType
-    marks = rows.select(*keys, F.col(ts).alias("_kept_at")).schema
-    previous = spark.createDataFrame([], marks)
+    previous = None
     start, number = first, 0
     while start <= last:
         fresh = rows.filter((F.col(ts) >= _instant(start, kind)) & (F.col(ts) < _instant(start + ttl, kind)))
-        known = lookup_join(fresh, previous, keys, "left")
-        free = F.col("_kept_at").isNull() | (F.col(ts) >= F.col("_kept_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)))
-        kept = pick_first(known.filter(free).drop("_kept_at"), keys, [F.col(ts).asc(), F.col(tie).asc()])
-        path = f"{out}/period={number}"
+        if previous is not None:
+            expiry = F.col("_kept_at") + F.make_dt_interval(secs=F.lit(ttl_seconds))
+            known = lookup_join(fresh, previous, keys, "left")
+            fresh = known.filter(F.col("_kept_at").isNull() | (F.col(ts) >= expiry)).drop("_kept_at")
+        kept = pick_first(fresh, keys, [F.col(ts).asc(), F.col(tie).asc()])
+        path = f"{home}/kept/period={number}"
         kept.select(*rows.columns).write.mode("overwrite").parquet(path)
         previous = spark.read.schema(schema).parquet(path).select(*keys, F.col(ts).alias("_kept_at"))
         start, number = start + ttl, number + 1
-    return spark.read.schema(schema).parquet(out).select(*rows.columns)
+    return spark.read.schema(schema).parquet(f"{home}/kept").select(*rows.columns)
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], ts: str, ttl: str = "24 hours") -> DataFrame:
