@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from stayflow import fixed_values as V
+from stayflow.functions import messages as M
+from stayflow.functions import scalars as X
+from stayflow.sources import text
+from stayflow.streaming.revenue import revenue_batch
+from tests.conftest import rows
+
+GOOD = {"event": "new_booking", "property_id": 7, "guest_email": "a@b.pl", "guest_name": "dropped", "booking_value": 10.5,
+        "timestamp": "2024-01-01T10:01:00.000001"}
+
+
+def texts(spark, *values):
+    return spark.createDataFrame([(v if isinstance(v, str) else json.dumps(v),) for v in values], "value string")
+
+
+def test_marketing_decode_is_permissive(spark):
+    no_value = {k: v for k, v in GOOD.items() if k != "booking_value"}
+    decoded = rows(M.decode_marketing(texts(spark, GOOD, "not json", no_value, GOOD | {"property_id": "7"})))
+    assert decoded[0] == ("new_booking", 7, "a@b.pl", 10.5, "2024-01-01T10:01:00.000001")
+    assert decoded[1] == (None,) * 5
+    assert decoded[2][3] is None and decoded[2][1] == 7
+    assert decoded[3][1] is None
+
+
+def test_windows_count_missing_values_and_drop_bad_times(spark):
+    no_value = {k: v for k, v in GOOD.items() if k != "booking_value"}
+    out = revenue_batch(texts(spark, GOOD, no_value, GOOD | {"timestamp": "bad"}, "not json"))
+    assert [tuple(r)[2:] for r in out.collect()] == [(7, 2, 10.5, 10.5)]
+
+
+def test_window_of_missing_values_only(spark):
+    no_value = {k: v for k, v in GOOD.items() if k != "booking_value"}
+    assert [tuple(r)[2:] for r in revenue_batch(texts(spark, no_value)).collect()] == [(7, 1, None, None)]
+
+
+BOOKING = {"booking_id": "BK-1", "property_id": 3, "guest_name": "Jan", "email": "j@x.pl", "check_in": "2026-01-01",
+           "check_out": "2026-01-05", "nights": 4, "total_price": 1000.0}
+
+
+def test_booking_defaults(spark):
+    got = M.cast_booking(M.read_booking(texts(spark, BOOKING))).first()
+    assert (got.guests, got.phone, got.description, got.rejected) == (V.DEFAULT_GUESTS, None, "", [])
+    assert str(got.total_price) == "1000.00" and str(got.check_in) == "2026-01-01"
+
+
+def test_bad_records_are_rejected_one_by_one(spark):
+    bad = [BOOKING | {"check_in": "soon"}, BOOKING | {"total_price": "n/a"}, BOOKING | {"property_id": "x"}, "not json",
+           {k: v for k, v in BOOKING.items() if k != "email"}, BOOKING | {"guests": "many"}]
+    cast = M.cast_booking(M.read_booking(texts(spark, BOOKING, *bad)))
+    reasons = [r.rejected for r in M.rejects(cast).collect()]
+    assert M.accepted(cast).count() == 1
+    assert reasons[:3] == [["check_in"], ["total_price"], ["property_id"]]
+    assert len(reasons[3]) == 8 and reasons[4] == ["email"] and reasons[5] == ["guests"]
+
+
+def test_alternative_fields(spark):
+    raw = M.read_booking(texts(spark, {"event_id": "E", "booking_id": "B", "guest_email": "g"}, {"booking_id": "B", "email": "e", "guest_email": "g"}, {}))
+    assert rows(raw.select(M.dedup_key(), M.recipient())) == [("E", "g"), ("B", "e"), ("unknown", None)]
+
+
+def test_fan_out_and_outbox(spark):
+    booking = spark.sql(
+        "SELECT 'BK-1' id, 3L property_id, 'Jan' guest_name, 'j@x.pl' email, cast(null as string) phone, "
+        "date'2026-01-01' check_in, date'2026-01-05' check_out, 4 nights, 1000.00BD total_price, "
+        "timestamp_ntz'2026-01-01 12:00:00' created_at"
+    )
+    sent = M.fan_out(booking)
+    by_topic = {r.topic: (r.key, json.loads(r.value)) for r in sent.collect()}
+    assert by_topic[V.TOPIC_BOOKINGS][0] == "BK-1" and by_topic[V.TOPIC_MARKETING][0] == "3"
+    assert by_topic[V.TOPIC_BOOKINGS][1]["check_in"] == "2026-01-01"
+    assert by_topic[V.TOPIC_INVOICES][1] == {
+        "event": "invoice_request", "booking_id": "BK-1", "email": "j@x.pl", "guest_name": "Jan", "total_price": 1000.0,
+        "property_id": 3, "check_in": "2026-01-01", "check_out": "2026-01-05",
+    }
+    mails = {r.topic: r for r in M.outbox(sent, "Domki").collect()}
+    assert mails[V.TOPIC_BOOKINGS].subject == "Potwierdzenie rezerwacji nr BK-1"
+    assert "(2026-01-01 - 2026-01-05)" in mails[V.TOPIC_BOOKINGS].body and mails[V.TOPIC_BOOKINGS].body.endswith("\nDomki")
+    assert mails[V.TOPIC_INVOICES].body.count("1000.0 zl") == 1
+    assert mails[V.TOPIC_MARKETING].recipient == "j@x.pl"
+
+
+def test_outbox_uses_the_default_name(spark):
+    message = spark.createDataFrame([(V.TOPIC_MARKETING, "k", '{"guest_email":"a@b.pl"}'), ("other", "k", "{}")], "topic string, key string, value string")
+    mails = M.outbox(message).collect()
+    assert len(mails) == 1 and mails[0].body.startswith("Cześć Gosc,")
+
+
+def test_offsets_skip_other_lines(spark):
+    lines = ['# HELP x', 'kafka_topic_partition_current_offset{partition="0",topic="bookings-created"} 12',
+             'kafka_topic_partition_current_offset{topic="bookings-created",partition="1"}  30',
+             'kafka_topic_partition_current_offset{partition="0"} 5', 'up{topic="bookings-created"} 1', '']
+    offsets = text.parse_offsets(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert rows(offsets, "offset") == [("bookings-created", 12), ("bookings-created", 30)]
+    totals = dict(rows(text.topic_totals(offsets, V.TOPICS)))
+    assert totals == {"bookings-created": 42, "email-invoices": 0, "marketing-actions": 0, "TOTAL": 42}
+
+
+def test_scalars(spark):
+    df = spark.sql("SELECT date'2024-01-05' a, date'2024-01-05' b, date'2024-01-03' c, 100.00BD price")
+    row = df.select(
+        X.nights(F.col("a"), F.col("c")).alias("n"), X.nights_shown(F.col("a"), F.col("c")).alias("s"),
+        X.quote(F.col("price"), X.nights(F.col("a"), F.col("b"))).alias("q"),
+        X.quote(F.col("price"), X.nights(F.col("c"), F.col("a"))).alias("p"),
+    ).first()
+    assert (row.n, row.s, row.q, str(row.p)) == (-2, 0, None, "200.00")
+    amenities = spark.createDataFrame([('["a","b"]',), ('{"a":1}',), ("junk",), (None,), ("[]",)], "t string")
+    assert rows(amenities.select(X.amenity_list(F.col("t")))) == [(["a", "b"],), ([],), ([],), ([],), ([],)]
+    dates = spark.createDataFrame([("Jan  1 00:00:00 2024 GMT",), ("Jan 11 00:00:00 2024 GMT",), ("x",)], "t string")
+    assert [str(r[0]) for r in dates.select(X.parse_not_after(F.col("t"))).collect()] == ["2024-01-01 00:00:00", "2024-01-11 00:00:00", "None"]
+    left = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:01' e, timestamp_ntz'2024-01-02 00:00:00' n")
+    assert left.select(X.days_left(F.col("e"), F.col("n"))).first()[0] == -1
+    keys = spark.createDataFrame([("  A@B ",), ("  ",), (None,)], "t string")
+    assert rows(keys.select(X.normal_key(F.col("t")))) == [("a@b",), (None,), (None,)]
