@@ -1,6 +1,6 @@
 """spark-submit job: booking, invoice and marketing messages into the bookings table and the outbox.
 
-    spark-submit --packages <kafka connector> -m stayflow.jobs.booking_stream --servers host:9092 --out <folder>
+    spark-submit --packages <kafka connector> --py-files stayflow.zip stayflow/jobs/booking_stream.py --servers host:9092 --out <folder>
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """spark-submit job: marketing messages into windowed revenue and a raw event table.
 
-    spark-submit --packages <kafka connector> -m stayflow.jobs.marketing_stream --servers host:9092 --out <folder>
+    spark-submit --packages <kafka connector> --py-files stayflow.zip stayflow/jobs/marketing_stream.py --servers host:9092 --out <folder>
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """spark-submit job: run one registered query over a table folder and write its rows as parquet.
 
-    spark-submit -m stayflow.jobs.report --query property_report --tables <folder> --out <folder>
+    spark-submit --py-files stayflow.zip stayflow/jobs/report.py --query property_report --tables <folder> --out <folder>
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow import fixed_values as V
+from stayflow.functions.messages import fill
 
 
 @dataclass(frozen=True)
@@ -54,47 +55,25 @@ def step_start(ts: Column | str, step: str) -> Column:
     return F.window(ts, step)["start"]
 
 
-def rule_steps(samples: DataFrame, rules: list[Rule], series: Column, step: str = "1 minute") -> DataFrame:
-    """One row per rule, series and step: did the condition hold for every sample of the step?
+def number_runs(steps: DataFrame, keys: list[str], checks: dict[str, str]) -> DataFrame:
+    """Add, for each check column, the number of false steps so far: equal numbers are one run.
 
-    All rules are evaluated in one pass over the samples.
+    Steps that a rule does not look at (NULL) neither end nor extend a run.
     """
-    keyed = samples.withColumns({"series": series, "step": step_start("ts", step)})
-    checks = []
-    for i, rule in enumerate(rules):
-        checks.append(F.bool_and(F.when(F.expr(rule.matcher), F.expr(rule.condition))).alias(f"_ok{i}"))
-    reduced = keyed.groupBy("series", "step").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("value", F.struct("ts", "value")).alias("value"), *checks
-    )
-    per_rule = F.array(
-        *[
-            F.struct(
-                F.lit(rule.name).alias("alertname"), F.lit(rule.severity).alias("severity"),
-                F.lit(rule.hold_seconds).alias("hold_seconds"), F.lit(rule.summary).alias("template"),
-                F.col(f"_ok{i}").alias("ok"),
-            )
-            for i, rule in enumerate(rules)
-        ]
-    )
-    rows = reduced.select("series", "step", "first_ts", "last_ts", "value", F.explode(per_rule).alias("r"))
-    return rows.select("series", "step", "first_ts", "last_ts", "value", "r.*").filter(F.col("ok").isNotNull())
-
+    ordered = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumns({run: F.count_if(~F.col(ok)).over(ordered) for ok, run in checks.items()})
 
-def held_runs(steps: DataFrame, keys: list[str], carry: list[str], hold: Column) -> DataFrame:
-    """Unbroken runs of true steps. One false step ends a run.
 
-    A run is firing once it has lasted `hold` seconds and pending before that.
-    """
-    ordered = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    runs = steps.withColumn("_run", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(ordered)).filter("ok")
-    held = runs.groupBy(*keys, *carry, "_run").agg(
+def summarize_runs(true_steps: DataFrame, keys: list[str], run: str, hold: Column) -> DataFrame:
+    """One row per run. It is firing once it has lasted `hold` seconds and pending before that."""
+    runs = true_steps.groupBy(*keys, run).agg(
         F.min("first_ts").alias("started_at"),
         F.max("last_ts").alias("last_at"),
         F.count(F.lit(1)).alias("steps"),
         F.max_by("value", "step").alias("last_value"),
     )
     seconds = F.unix_timestamp("last_at") - F.unix_timestamp("started_at")
-    return held.drop("_run").withColumns(
+    return runs.drop(run).withColumns(
         {
             "held_seconds": seconds,
             "state": F.when(seconds >= hold, "firing").otherwise("pending"),
@@ -103,16 +82,34 @@ def held_runs(steps: DataFrame, keys: list[str], carry: list[str], hold: Column)
 
 
 def evaluate(samples: DataFrame, rules: list[Rule], series: Column, step: str = "1 minute") -> DataFrame:
-    """Runs of every rule with state, severity and summary text."""
-    steps = rule_steps(samples, rules, series, step)
-    runs = held_runs(
-        steps, ["alertname", "series"], ["severity", "hold_seconds", "template"], F.col("hold_seconds")
+    """Runs of every rule with state, severity and summary text.
+
+    All rules are evaluated in one pass: the samples of a step are reduced to one flag per rule (did its
+    condition hold for each of them?), the runs of all rules are numbered in one ordering of the series, and
+    only true steps are then split by rule. A series has one sample per instant.
+    """
+    keyed = samples.withColumns({"series": series, "step": step_start("ts", step)})
+    flags = [F.bool_and(F.when(F.expr(r.matcher), F.expr(r.condition))).alias(f"_ok{i}") for i, r in enumerate(rules)]
+    reduced = keyed.groupBy("series", "step").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("value", "ts").alias("value"), *flags
+    )
+    numbered = number_runs(reduced, ["series"], {f"_ok{i}": f"_run{i}" for i in range(len(rules))})
+    per_rule = F.array(
+        *[
+            F.struct(
+                F.lit(r.name).alias("alertname"), F.lit(r.severity).alias("severity"),
+                F.lit(r.hold_seconds).alias("hold_seconds"), F.col(f"_ok{i}").alias("ok"), F.col(f"_run{i}").alias("run"),
+            )
+            for i, r in enumerate(rules)
+        ]
     )
+    true_steps = numbered.select("series", "step", "first_ts", "last_ts", "value", F.inline(per_rule)).filter("ok")
+    runs = summarize_runs(true_steps, ["alertname", "severity", "series", "hold_seconds"], "run", F.col("hold_seconds"))
     text = F.lit(None).cast("string")
     for rule in rules:
-        args = [F.col("series"), F.col("last_value").cast("string")][: rule.summary.count("%s")]
-        text = F.when(F.col("alertname") == rule.name, F.format_string(rule.summary, *args)).otherwise(text)
-    return runs.withColumn("summary", text).drop("hold_seconds", "template")
+        args = [F.col("series"), F.col("last_value")][: rule.summary.count("%s")]
+        text = F.when(F.col("alertname") == rule.name, fill(rule.summary, *args)).otherwise(text)
+    return runs.withColumn("summary", text).drop("hold_seconds")
 
 
 def firing(samples: DataFrame, rules: list[Rule], series: Column, step: str = "1 minute") -> DataFrame:
@@ -130,10 +127,10 @@ def evaluate_aggregate(samples: DataFrame, value: Column, condition: Column, hol
         samples.groupBy(step_start("ts", step).alias("step"))
         .agg(value.alias("value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         .filter(F.col("value").isNotNull())
-        .withColumn("ok", condition)
-        .withColumn("rule", F.lit("all"))
+        .withColumns({"ok": condition, "rule": F.lit("all")})
     )
-    return held_runs(steps, ["rule"], [], F.lit(hold_seconds)).drop("rule")
+    true_steps = number_runs(steps, ["rule"], {"ok": "run"}).filter("ok")
+    return summarize_runs(true_steps, ["rule"], "run", F.lit(hold_seconds)).drop("rule")
 
 
 def stale_keys(rows: DataFrame, key: str, ts: str, now: Column, days: int = V.STALE_DAYS) -> DataFrame:

@@ -160,45 +160,56 @@ def test_stream_dedup_drops_repeats_in_later_batches(spark, tmp_path):
     assert rows(batches(spark, out, decoded.schema).select("property_id"), "property_id") == [(1,), (2,)]
 
 
-def run_until(query, done, seconds=90):
-    """Processing-time state never ends by itself: wait for the expected result, then stop."""
+def key_reader(spark, out, schema):
+    def read():
+        try:
+            return rows(batches(spark, out, schema).select("key"), "key")
+        except Exception:  # nothing written yet
+            return []
+
+    return read
+
+
+def wait(query, done, seconds=120):
+    """Processing-time state never ends by itself: wait for the expected result."""
     deadline = time.time() + seconds
-    try:
-        while not done() and time.time() < deadline and query.isActive:
-            time.sleep(0.3)
-    finally:
-        query.stop()
-    if query.exception():
-        raise query.exception()
+    while not done():
+        assert time.time() < deadline and query.isActive, query.exception()
+        time.sleep(0.3)
 
 
-def test_wall_clock_ttl_forgets_keys(spark, tmp_path):
-    root, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+@pytest.mark.parametrize(("ttl", "pause", "expected"), [(3600, 0, ["a", "b", "c"]), (2, 5, ["a", "b", "b", "c"])])
+def test_wall_clock_ttl(spark, tmp_path, ttl, pause, expected):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
     put(spark, root, [("t", "a", "1"), ("t", "a", "2"), ("t", "b", "3")])
     stream = streams.file_topics(spark, root, ["t"])
-    unique = ttl_state.first_seen(stream, ["key"], ttl_seconds=6)
-    writer = unique.writeStream.outputMode("append").foreachBatch(batch_files(out))
-    query = start(writer, name(), checkpoint, trigger="0 seconds")
-
-    def read():
-        try:
-            return rows(batches(spark, out, stream.schema).select("key"), "key")
-        except Exception:
-            return []
+    writer = ttl_state.first_seen(stream, ["key"], ttl).writeStream.foreachBatch(batch_files(out))
+    read = key_reader(spark, out, stream.schema)
+    query = start(writer, name(), str(tmp_path / "cp"), trigger="0 seconds")
+    try:
+        wait(query, lambda: len(read()) >= 2)
+        time.sleep(pause)
+        put(spark, root, [("t", "b", "4"), ("t", "c", "5")])
+        wait(query, lambda: ("c",) in read())
+    finally:
+        query.stop()
+    assert [k for (k,) in read()] == expected
 
-    def feed():
-        if len(read()) < 2:
-            return False
-        put(spark, root, [("t", "b", "4")])  # still known
-        time.sleep(8)
-        put(spark, root, [("t", "a", "5")])  # forgotten by now
-        return True
 
-    deadline = time.time() + 60
-    while not feed() and time.time() < deadline:
-        time.sleep(0.3)
-    run_until(query, lambda: len(read()) >= 3)
-    assert read() == [("a",), ("a",), ("b",)]
+def test_latest_value_is_kept_for_a_while(spark, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put(spark, root, [("t", "a", "1"), ("t", "b", "1")])
+    changes = ttl_state.latest_kept(streams.file_topics(spark, root, ["t"]), "key", "value")
+    read = key_reader(spark, out, changes.schema)
+    query = start(changes.writeStream.outputMode("update").foreachBatch(batch_files(out)), name(), str(tmp_path / "cp"), trigger="0 seconds")
+    try:
+        wait(query, lambda: len(read()) >= 2)
+        put(spark, root, [("t", "a", "1"), ("t", "b", "2")])  # a does not change
+        wait(query, lambda: len(read()) >= 3)
+    finally:
+        query.stop()
+    got = rows(batches(spark, out, changes.schema).select("key", "value", "known"), "key", "value")
+    assert got == [("a", "1", False), ("b", "1", False), ("b", "2", True)]
 
 
 def test_log_tail_labels_files(spark, tmp_path):
