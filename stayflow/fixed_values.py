@@ -100,3 +100,4 @@ TRIGGER = "10 seconds"
 # Alert notification timing.
 GROUP_WAIT = "30 seconds"
 REPEAT_INTERVAL = "4 hours"
+RESOLVE_TIMEOUT = "5 minutes"

@@ -54,11 +54,11 @@ def cast_booking(raw: DataFrame) -> DataFrame:
 
 
 def accepted(cast: DataFrame) -> DataFrame:
-    return cast.filter(F.size("rejected") == 0).drop("rejected")
+    return cast.filter(F.col("rejected") == "").drop("rejected")
 
 
 def rejects(cast: DataFrame) -> DataFrame:
-    return cast.filter(F.size("rejected") > 0)
+    return cast.filter(F.col("rejected") != "")
 
 
 def dedup_key() -> Column:

@@ -59,9 +59,9 @@ def parse_not_after(text: Column) -> Column:
 
 
 def reasons(rules: dict[str, Column]) -> Column:
-    """Names of the broken rules. A rule that is NULL counts as broken."""
+    """Names of the broken rules with commas between them, empty when none is. A NULL rule counts as broken."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
-    return F.array_compact(F.array(*broken))
+    return F.concat_ws(",", *broken)
 
 
 def valid_email(c: Column) -> Column:

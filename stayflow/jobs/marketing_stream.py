@@ -19,14 +19,14 @@ def main() -> None:
     parser = argparse.ArgumentParser()
     parser.add_argument("--servers", required=True)
     parser.add_argument("--out", required=True, help="folder that every executor can reach")
+    parser.add_argument("--console", action="store_true", help="print the changed windows instead of writing them")
     args = parser.parse_args()
 
     spark = build_session("marketing-stream")
     messages = kafka_topics(spark, args.servers, [V.TOPIC_MARKETING], starting="latest")
-    start(
-        revenue_stream(messages).writeStream.outputMode("update").foreachBatch(batch_files(f"{args.out}/revenue")),
-        "marketing-revenue", f"{args.out}/checkpoints/revenue", trigger=V.TRIGGER,
-    )
+    revenue = revenue_stream(messages).writeStream.outputMode("update")
+    sink = revenue.format("console") if args.console else revenue.foreachBatch(batch_files(f"{args.out}/revenue"))
+    start(sink, "marketing-revenue", f"{args.out}/checkpoints/revenue", trigger=V.TRIGGER)
     start(
         decode_marketing(messages).writeStream.foreachBatch(batch_files(f"{args.out}/events")),
         "marketing-events", f"{args.out}/checkpoints/events", trigger=V.TRIGGER,

@@ -140,14 +140,16 @@ def stale_keys(rows: DataFrame, key: str, ts: str, now: Column, days: int = V.ST
     return last.withColumn("age_seconds", age).filter(F.col("age_seconds") > days * 86400)
 
 
-def notifications(firing: DataFrame, group: list[str], at: str) -> DataFrame:
+def notifications(firing: DataFrame, group: list[str]) -> DataFrame:
     """One notification per alert group and repeat interval, with its receiver.
 
-    The first alert of an interval is announced after the group wait; critical groups go to their own receiver.
+    The first alert of an interval is announced after the group wait, and the group counts as resolved a
+    timeout after its last true sample. Critical groups go to their own receiver.
     """
-    period = F.window(at, V.REPEAT_INTERVAL)["start"]
+    period = F.window("fired_at", V.REPEAT_INTERVAL)["start"]
     grouped = firing.groupBy(*group, period.alias("period")).agg(
-        F.min(at).alias("first_at"),
+        F.min("fired_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
         F.count(F.lit(1)).alias("alerts"),
         F.max(F.col("severity") == "critical").alias("critical"),
     )
@@ -155,6 +157,7 @@ def notifications(firing: DataFrame, group: list[str], at: str) -> DataFrame:
         *group,
         "period",
         (F.col("first_at") + F.expr(f"INTERVAL {V.GROUP_WAIT}")).alias("notify_at"),
+        (F.col("last_at") + F.expr(f"INTERVAL {V.RESOLVE_TIMEOUT}")).alias("resolved_at"),
         "alerts",
         F.when(F.col("critical"), "email-critical").otherwise("email-default").alias("receiver"),
     )

@@ -216,4 +216,4 @@ FROM events WHERE event_type IN ('view', 'click', 'error')""")
 def decode_rejects(spark, sf_dir):
     messages = booking_texts(table(spark, sf_dir, "events")).withColumnRenamed("event_id", "id")
     bad = M.rejects(M.cast_booking(M.read_booking(messages, ["id"])))
-    return bad.select("id", F.concat_ws(",", "rejected").alias("reasons"))
+    return bad.select("id", F.col("rejected").alias("reasons"))

@@ -116,12 +116,12 @@ def stale_keys(spark, sf_dir):
 @query(CERT_RUNS + """, firing AS (
   SELECT *, started_at + to_seconds(hold_seconds) AS fired_at FROM runs WHERE held_seconds >= hold_seconds)
 SELECT alertname, series AS secret, time_bucket(INTERVAL 4 HOUR, fired_at, TIMESTAMP '1970-01-01') AS period,
-       min(fired_at) + INTERVAL 30 SECOND AS notify_at, count(*) AS alerts,
+       min(fired_at) + INTERVAL 30 SECOND AS notify_at, max(last_at) + INTERVAL 5 MINUTE AS resolved_at, count(*) AS alerts,
        CASE WHEN bool_or(severity = 'critical') THEN 'email-critical' ELSE 'email-default' END AS receiver
 FROM firing GROUP BY ALL""")
 def alert_notifications(spark, sf_dir):
     firing = alerts.firing(views.metric_samples(spark, sf_dir), alerts.CERT_RULES, _series())
-    return alerts.notifications(firing.withColumnRenamed("series", "secret"), ["alertname", "secret"], "fired_at")
+    return alerts.notifications(firing.withColumnRenamed("series", "secret"), ["alertname", "secret"])
 
 
 @query("""WITH c AS (SELECT event_type, event_id, ts, CAST(value AS DECIMAL(12,2)) AS value,

@@ -32,14 +32,14 @@ def shared_root(spark: SparkSession) -> str:
 
     A machine-local folder is only made up in local mode, where driver and executors are one process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="stayflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stayflow-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def work_dir(spark: SparkSession, label: str) -> str:

@@ -21,7 +21,7 @@ EVENT_COLUMNS = [
 RECORD_SCHEMA = (
     "event string, event_id string, booking_id string, property_id long, guest_name string, email string, "
     "guest_email string, phone string, guests int, check_in date, check_out date, nights int, "
-    "total_price decimal(10,2), description string, timestamp string, rejected array<string>"
+    "total_price decimal(10,2), description string, timestamp string, rejected string"
 )
 
 
@@ -31,7 +31,11 @@ def last_message() -> list[Column]:
 
 
 def enrich(good: DataFrame) -> DataFrame:
-    return good.withColumns({"status": F.lit(V.STATUS_CONFIRMED), "pipeline": F.lit(V.PIPELINE_LABEL)})
+    """Constant columns of a saved booking; it was created when its message says, or now."""
+    sent = F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp())
+    return good.withColumns(
+        {"status": F.lit(V.STATUS_CONFIRMED), "pipeline": F.lit(V.PIPELINE_LABEL), "created_at": sent.cast("timestamp_ntz")}
+    )
 
 
 def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
@@ -42,7 +46,7 @@ def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        cast = cast_booking(read_booking(batch)).withColumn("accepted", F.size("rejected") == 0)
+        cast = cast_booking(read_booking(batch)).withColumn("accepted", F.col("rejected") == "")
         cast.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
 
     return write

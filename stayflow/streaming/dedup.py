@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,49 +14,44 @@ from stayflow.operators.latest import pick_first
 from stayflow.session import work_dir
 
 
-def _instant(when: dt.datetime, kind: T.DataType) -> Column:
-    """A literal of the column's own type, so that the comparison reaches the file scan."""
-    return F.lit(when.isoformat(sep=" ")).cast(kind)
-
-
-def first_per_ttl(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int = V.TTL_PROCESSED,
-                  clustered: bool = False) -> DataFrame:
+def first_per_ttl(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int = V.TTL_PROCESSED) -> DataFrame:
     """Keep a row when its key was not kept in the `ttl_seconds` before it. Exact, over event time.
 
     Time is cut into periods as long as the ttl. A key is kept at most once per period, and what it kept two
     periods ago has expired, so each period needs only its own rows and the rows kept in the period before.
-    One period is one Spark job whose result is written to the shared folder; the loop is as long as the
-    time range divided by the ttl, whatever the number of rows. Rows are reduced to one per key on the map
-    side, so a hot key stays small.
 
-    The rows are first written in time order, which lets every period read only its own files and row
-    groups; tables that are stored that way already can skip this with `clustered`.
+    The rows are written to the shared folder by period once, large periods in many files; then one Spark
+    job per period reads its own folder and the keys kept before, and writes what it keeps. The loop is as
+    long as the time range divided by the ttl, whatever the number of rows. Rows are reduced to one per key
+    on the map side, so a hot key stays small.
     """
     spark = rows.sparkSession
     home = work_dir(spark, "first-per-ttl")
     schema = rows.schema
-    kind = schema[ts].dataType
-    if not clustered:
-        rows.repartitionByRange(ts, tie).sortWithinPartitions(ts).write.parquet(f"{home}/by-time")
-        rows = spark.read.schema(schema).parquet(f"{home}/by-time")
-    first, last = rows.agg(F.min(ts), F.max(ts)).first()
-    if first is None:
-        return rows
-    ttl = dt.timedelta(seconds=ttl_seconds)
-    previous = None
-    start, number = first, 0
-    while start <= last:
-        fresh = rows.filter((F.col(ts) >= _instant(start, kind)) & (F.col(ts) < _instant(start + ttl, kind)))
-        if previous is not None:
-            expiry = F.col("_kept_at") + F.make_dt_interval(secs=F.lit(ttl_seconds))
+    start = F.window(ts, f"{ttl_seconds} seconds")["start"]
+    rows.withColumn("_period", F.date_format(start, "yyyyMMddHHmmss")).hint("rebalance", "_period").write.partitionBy("_period").parquet(
+        f"{home}/rows"
+    )
+    staged = spark.read.schema(T.StructType([*schema.fields, T.StructField("_period", T.StringType())])).parquet(f"{home}/rows")
+    # One value per period of the time range.
+    periods = [r[0] for r in staged.select("_period").distinct().orderBy("_period").collect()]
+    expiry = F.col("_kept_at") + F.make_dt_interval(secs=F.lit(ttl_seconds))
+    length = dt.timedelta(seconds=ttl_seconds)
+    kept_path, before = None, None
+    for period in periods:
+        # The folder is read by its path: without a literal in it the plan is compiled once for all periods.
+        fresh = spark.read.schema(schema).parquet(f"{home}/rows/_period={period}")
+        now = dt.datetime.strptime(period, "%Y%m%d%H%M%S")
+        if before is not None and now - before == length:
+            previous = spark.read.schema(schema).parquet(kept_path).select(*keys, F.col(ts).alias("_kept_at"))
             known = lookup_join(fresh, previous, keys, "left")
             fresh = known.filter(F.col("_kept_at").isNull() | (F.col(ts) >= expiry)).drop("_kept_at")
+        kept_path, before = f"{home}/kept/at={period}", now
         kept = pick_first(fresh, keys, [F.col(ts).asc(), F.col(tie).asc()])
-        path = f"{home}/kept/period={number}"
-        kept.select(*rows.columns).write.mode("overwrite").parquet(path)
-        previous = spark.read.schema(schema).parquet(path).select(*keys, F.col(ts).alias("_kept_at"))
-        start, number = start + ttl, number + 1
-    return spark.read.schema(schema).parquet(f"{home}/kept").select(*rows.columns)
+        kept.select(*schema.names).write.mode("overwrite").parquet(kept_path)
+    if kept_path is None:
+        return rows
+    return spark.read.schema(schema).parquet(f"{home}/kept").select(*schema.names)
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], ts: str, ttl: str = "24 hours") -> DataFrame:

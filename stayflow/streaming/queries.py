@@ -14,10 +14,9 @@ from stayflow.session import stream_conf, work_dir
 
 def start(writer, name: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Start a named query with its own checkpoint; without a trigger it reads what is there and ends."""
-    spark = writer._spark
     writer = writer.queryName(name).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
-    with stream_conf(spark):
+    with stream_conf(SparkSession.active()):
         return writer.start()
 
 

@@ -66,11 +66,13 @@ def test_aggregate_rule(spark):
 def test_notifications_once_per_interval(spark):
     data = [("2024-01-01 00:10:00", "warning"), ("2024-01-01 03:00:00", "critical"), ("2024-01-01 05:00:00", "warning")]
     firing = spark.createDataFrame(data, "t string, severity string").select(
-        F.lit("Low").alias("alertname"), F.col("t").cast("timestamp_ntz").alias("fired_at"), "severity"
+        F.lit("Low").alias("alertname"), F.col("t").cast("timestamp_ntz").alias("fired_at"),
+        F.col("t").cast("timestamp_ntz").alias("last_at"), "severity",
     )
-    out = alerts.notifications(firing, ["alertname"], "fired_at").orderBy("period").collect()
-    assert [(str(r.notify_at), r.alerts, r.receiver) for r in out] == [
-        ("2024-01-01 00:10:30", 2, "email-critical"), ("2024-01-01 05:00:30", 1, "email-default"),
+    out = alerts.notifications(firing, ["alertname"]).orderBy("period").collect()
+    assert [(str(r.notify_at), str(r.resolved_at), r.alerts, r.receiver) for r in out] == [
+        ("2024-01-01 00:10:30", "2024-01-01 03:05:00", 2, "email-critical"),
+        ("2024-01-01 05:00:30", "2024-01-01 05:05:00", 1, "email-default"),
     ]
 
 
