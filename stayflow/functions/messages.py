@@ -65,6 +65,13 @@ def dedup_key() -> Column:
     return F.coalesce(F.col("event_id"), F.col("booking_id"), F.lit(V.DEFAULT_KEY))
 
 
+def with_dedup_key(messages: DataFrame) -> DataFrame:
+    """Add the key by which a repeated message is known, without reading the rest of the message."""
+    ids = T.StructType([f for f in schemas.BOOKING_TEXT.fields if f.name in ("event_id", "booking_id")])
+    found = parse(messages, ids, messages.columns)
+    return found.withColumn("dedup_key", dedup_key()).drop("event_id", "booking_id")
+
+
 def recipient() -> Column:
     return F.coalesce(F.col("email"), F.col("guest_email"))
 

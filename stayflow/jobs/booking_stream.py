@@ -8,11 +8,12 @@ from __future__ import annotations
 import argparse
 
 from stayflow import fixed_values as V
-from stayflow.functions.messages import outbox
+from stayflow.functions.messages import outbox, with_dedup_key
 from stayflow.session import build_session
 from stayflow.sources.streams import kafka_topics
 from stayflow.streaming.bookings import ingest_batch
 from stayflow.streaming.queries import batch_files, start
+from stayflow.streaming.ttl_state import first_seen
 
 
 def main() -> None:
@@ -20,19 +21,29 @@ def main() -> None:
     parser.add_argument("--servers", required=True)
     parser.add_argument("--out", required=True, help="folder that every executor can reach")
     parser.add_argument("--brand", default=V.BRAND)
+    parser.add_argument("--max-messages", default="10000000", help="messages per topic and batch")
     args = parser.parse_args()
 
     spark = build_session("booking-stream")
-    # Two queries with their own checkpoints read the topics independently of each other.
-    bookings = kafka_topics(spark, args.servers, [V.TOPIC_BOOKINGS], starting="earliest")
+
+    def topics(*names):
+        return kafka_topics(spark, args.servers, list(names), starting="earliest", maxOffsetsPerTrigger=args.max_messages)
+
+    # Each query has its own checkpoint and reads the topics independently of the others.
     start(
-        bookings.writeStream.foreachBatch(ingest_batch(f"{args.out}/bookings")),
+        topics(V.TOPIC_BOOKINGS).writeStream.foreachBatch(ingest_batch(f"{args.out}/bookings")),
         "booking-ingest", f"{args.out}/checkpoints/bookings", trigger=V.TRIGGER,
     )
-    everything = kafka_topics(spark, args.servers, V.TOPICS, starting="earliest")
+    # A booking is confirmed by mail once; a repeated message within a day sends nothing.
+    once = first_seen(with_dedup_key(topics(V.TOPIC_BOOKINGS)), ["dedup_key"], V.TTL_PROCESSED)
+    start(
+        outbox(once, args.brand).writeStream.foreachBatch(batch_files(f"{args.out}/confirmations")),
+        "confirmations", f"{args.out}/checkpoints/confirmations", trigger=V.TRIGGER,
+    )
     start(
-        outbox(everything, args.brand).writeStream.foreachBatch(batch_files(f"{args.out}/outbox")),
-        "booking-outbox", f"{args.out}/checkpoints/outbox", trigger=V.TRIGGER,
+        outbox(topics(V.TOPIC_INVOICES, V.TOPIC_MARKETING), args.brand).writeStream
+        .foreachBatch(batch_files(f"{args.out}/mails")),
+        "invoices-and-offers", f"{args.out}/checkpoints/mails", trigger=V.TRIGGER,
     )
     spark.streams.awaitAnyTermination()
 

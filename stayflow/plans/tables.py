@@ -25,16 +25,20 @@ FAN_OUT = f"""{BOOKINGS}, sent AS (
          {SENT_AT} AS sent_at FROM bookings)"""
 
 
-@query(f"""WITH {FAN_OUT}
-SELECT 'bookings-created' AS topic, id AS key, CAST(json_object('event', 'booking_created', 'booking_id', id,
+def fan_out_sql(source: str) -> str:
+    """Messages of the three topics for rows with amount, d_in, d_out and sent_at."""
+    return f"""SELECT 'bookings-created' AS topic, id AS key, CAST(json_object('event', 'booking_created', 'booking_id', id,
   'property_id', property_id, 'guest_name', guest_name, 'email', email, 'phone', phone, 'check_in', d_in,
-  'check_out', d_out, 'nights', nights, 'total_price', amount, 'timestamp', sent_at) AS VARCHAR) AS value FROM sent
+  'check_out', d_out, 'nights', nights, 'total_price', amount, 'timestamp', sent_at) AS VARCHAR) AS value FROM {source}
 UNION ALL SELECT 'email-invoices', id, CAST(json_object('event', 'invoice_request', 'booking_id', id, 'email', email,
   'guest_name', guest_name, 'total_price', amount, 'property_id', property_id, 'check_in', d_in, 'check_out', d_out)
-  AS VARCHAR) FROM sent
+  AS VARCHAR) FROM {source}
 UNION ALL SELECT 'marketing-actions', CAST(property_id AS VARCHAR), CAST(json_object('event', 'new_booking',
   'property_id', property_id, 'guest_email', email, 'guest_name', guest_name, 'booking_value', amount,
-  'timestamp', sent_at) AS VARCHAR) FROM sent""")
+  'timestamp', sent_at) AS VARCHAR) FROM {source}"""
+
+
+@query(f"WITH {FAN_OUT} " + fan_out_sql("sent"))
 def fanout_booking_events(spark, sf_dir):
     return M.fan_out(views.bookings(spark, sf_dir))
 
@@ -79,6 +83,26 @@ def insert_if_absent(spark, sf_dir):
     )
 
 
+@query(f"""WITH {OLD_AND_NEW}, added AS (
+  SELECT *, 'Guest ' || l_suppkey AS guest_name, 'guest' || l_suppkey || '@example.com' AS email,
+         '+48' || (500000000 + l_suppkey) AS phone, CAST(total_price AS DOUBLE) AS amount, CAST(check_in AS VARCHAR) AS d_in,
+         CAST(check_out AS VARCHAR) AS d_out, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f') AS sent_at
+  FROM new WHERE id NOT IN (SELECT id FROM old)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY {OLDEST}) = 1) """ + fan_out_sql("added"))
+def create_bookings(spark, sf_dir):
+    """Messages are sent for the bookings that were inserted, not for those whose id was taken."""
+    old, new = _old_and_new(spark, sf_dir)
+    guest = F.col("l_suppkey")
+    inserted = writes.absent_rows(old, new, "id", views.oldest_first()).withColumns(
+        {
+            "guest_name": F.concat(F.lit("Guest "), guest.cast("string")),
+            "email": views.guest_email(guest),
+            "phone": F.concat(F.lit("+48"), (F.lit(500000000) + guest).cast("string")),
+        }
+    )
+    return M.fan_out(inserted, sent_at="l_shipdate")
+
+
 @query(f"""WITH {OLD_AND_NEW}, change AS (
   SELECT id, property_id, check_in, check_out, nights,
          CASE WHEN l_returnflag <> 'R' THEN total_price END AS total_price

@@ -117,3 +117,13 @@ def test_scalars(spark):
     assert left.select(X.days_left(F.col("e"), F.col("n"))).first()[0] == -1
     keys = spark.createDataFrame([("  A@B ",), ("  ",), (None,)], "t string")
     assert rows(keys.select(X.normal_key(F.col("t")))) == [("a@b",), (None,), (None,)]
+
+
+def test_dedup_key_is_added_to_messages(spark):
+    sent = spark.createDataFrame(
+        [("t", "1", '{"event_id":"E","booking_id":"B"}'), ("t", "2", '{"booking_id":"B"}'), ("t", "3", "not json")],
+        "topic string, key string, value string",
+    )
+    keyed = M.with_dedup_key(sent)
+    assert keyed.columns == ["topic", "key", "value", "dedup_key"]
+    assert rows(keyed.select("key", "dedup_key"), "key") == [("1", "E"), ("2", "B"), ("3", "unknown")]
