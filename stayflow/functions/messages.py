@@ -143,7 +143,10 @@ MAIL_FIELDS = T.StructType(
 
 
 def outbox(messages: DataFrame, brand: str = V.BRAND) -> DataFrame:
-    """One mail per message, with the text that its topic calls for."""
+    """One mail per message, with the text that its topic calls for.
+
+    A message that lacks a field its text needs gives a mail without that text, which is not to be sent.
+    """
     name = F.coalesce(F.col("guest_name"), F.lit(V.DEFAULT_GUEST_NAME))
     number, sender = F.col("booking_id"), F.lit(brand)
     confirmation = F.struct(

@@ -23,7 +23,7 @@ ROUTES_SQL = """CASE event_type WHEN 'purchase' THEN 'bookings-created' WHEN 'cl
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def src_event_stream(spark, sf_dir):
-    stream = streams.table_stream(spark, sf_dir, "events", schemas.EVENTS)
+    stream = streams.table_stream(spark, sf_dir, "events", schemas.EVENTS, streams.FILES_PER_BATCH)
     out = run_to_files(stream, "src-event-stream")
     return batches(spark, out, schemas.EVENTS).drop("batch")
 

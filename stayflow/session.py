@@ -61,13 +61,14 @@ def stream_conf(spark: SparkSession):
     """Fix the number of state partitions while a streaming query starts.
 
     A stateful query keeps the partition count of its first start for the life of its checkpoint and is
-    not coalesced at run time, so the count follows the cores of the cluster unless the session names one
-    in spark.stayflow.state.partitions.
+    not coalesced at run time. spark.stayflow.state.partitions names it; otherwise a cluster uses its
+    spark.sql.shuffle.partitions and local mode its cores.
     """
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
+    local = spark.sparkContext.master.startswith("local")
     wanted = spark.conf.get("spark.stayflow.state.partitions", None)
-    spark.conf.set(name, wanted or str(spark.sparkContext.defaultParallelism))
+    spark.conf.set(name, wanted or (str(spark.sparkContext.defaultParallelism) if local else before))
     try:
         yield
     finally:

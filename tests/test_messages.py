@@ -28,6 +28,10 @@ def test_marketing_decode_is_permissive(spark):
     assert decoded[3][1] is None
 
 
+def test_a_message_without_text_is_a_row_of_nulls(spark):
+    assert rows(M.decode_marketing(spark.createDataFrame([(None,)], "value string"))) == [(None,) * 5]
+
+
 def test_windows_count_missing_values_and_drop_bad_times(spark):
     no_value = {k: v for k, v in GOOD.items() if k != "booking_value"}
     out = revenue_batch(texts(spark, GOOD, no_value, GOOD | {"timestamp": "bad"}, "not json"))
