@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import substring
+from stayflow.llm import mixing, quality_rules, sharding, substring, url_filter
 from stayflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+N_WORDS = f"CAST(len({WORDS}) AS BIGINT)"
+
+
+def digest_sql(text: str) -> str:
+    """The number that stayflow.llm.texts.digest60 makes of a text."""
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -42,3 +48,137 @@ FROM kept GROUP BY doc_id""")
 def op1_substring_dedup(spark, sf_dir):
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+CRC_SQL = """list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+FEISTEL_SQL = f"""list_reduce([{{'k': CAST(-1 AS BIGINT), 'l': x // b, 'r': x % b}}] ||
+  list_transform(range({sharding.ROUNDS}), lambda i: {{'k': i, 'l': CAST(0 AS BIGINT), 'r': CAST(0 AS BIGINT)}}), lambda s, i: {{'k': i.k,
+  'l': CASE WHEN i.k % 2 = 0 THEN (s.l + {digest_sql("'shuffle|' || i.k || '|' || s.r")}) % a ELSE s.l END,
+  'r': CASE WHEN i.k % 2 = 1 THEN (s.r + {digest_sql("'shuffle|' || i.k || '|' || s.l")}) % b ELSE s.r END}})"""
+
+SHARDS = 24
+
+
+@query(f"""WITH RECURSIVE crc AS (SELECT {CRC_SQL} AS t),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, hex(coalesce(text, '')) AS bytes FROM documents),
+sums AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(1, length(bytes), 2), lambda i: CAST('0x' || substr(bytes, i, 2) AS BIGINT))),
+    lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS crc32 FROM d, crc),
+n AS (SELECT count(*) AS n FROM d),
+root AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS root FROM n),
+sides AS (SELECT n, root + i AS a, (n + root + i - 1) // (root + i) AS b
+          FROM root, (SELECT unnest(range({sharding.SEARCH})) AS i) ORDER BY (root + i) * ((n + root + i - 1) // (root + i)), a LIMIT 1),
+numbers AS (SELECT doc_id, row_number() OVER (ORDER BY {digest_sql("CAST(doc_id AS VARCHAR)")} % {sharding.BUCKETS}, doc_id) - 1 AS x FROM d),
+walk AS (SELECT doc_id, x, false AS moved FROM numbers
+  UNION ALL SELECT doc_id, m.l * b + m.r, true FROM (SELECT doc_id, a, b, {FEISTEL_SQL} AS m FROM walk, sides WHERE NOT moved OR x >= n))
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc32 AS text_crc32, 'rows' AS law, CAST(x % {SHARDS} AS INTEGER) AS shard,
+       CAST(x // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM walk JOIN d USING (doc_id) JOIN sums USING (doc_id), n WHERE moved AND x < n""")
+def op2_sharding(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.shard(rows, SHARDS, ["doc_id", "text_crc32", "size"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS miss, {N_WORDS} AS size FROM documents),
+c AS (SELECT *, CASE WHEN size < 64 THEN size ELSE (length(bin(size)) - 6) * 32 + (size >> (length(bin(size)) - 6)) END AS cls,
+             {digest_sql("CAST(doc_id AS VARCHAR)")} % {mixing.BUCKETS} AS part FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY miss, src ORDER BY cls, part, size, doc_id) AS place FROM c),
+s AS (SELECT src, miss, sum(size) AS words, [3, 1, 2][1 + CAST((row_number() OVER (ORDER BY miss, src) - 1) % 3 AS INTEGER)] AS weight
+      FROM d GROUP BY src, miss),
+caps AS (SELECT *, words * CAST(2.0 AS DOUBLE) AS cap FROM s),
+levels AS (SELECT *, (CAST(sum(words) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE)
+    - coalesce(sum(cap) OVER (ORDER BY cap / weight, miss, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, miss, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+goals AS (SELECT src, miss, words, least(cap, (max(level) OVER ()) * weight) AS target,
+    ({digest_sql("'mix|' || CAST(miss AS VARCHAR) || '|' || src")} % 1024 + CAST(0.5 AS DOUBLE)) / 1024 AS start FROM levels),
+rates AS (SELECT *, CASE WHEN words > 0 THEN target / words ELSE 0 END AS rate FROM goals)
+SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target,
+       CAST(least(floor(start + place * rate) - floor(start + (place - 1) * rate), ceil(rate)) AS BIGINT) AS copies,
+       CAST(least(floor(start + place * rate) - floor(start + (place - 1) * rate), ceil(rate)) * size AS BIGINT) AS taken
+FROM placed JOIN rates USING (src, miss)""")
+def op3_mixing(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", quality_rules.word_count(F.col("text")).alias("size"))
+    planned, name = mixing.plan_copies(rows, F.col("size"), "source", ["doc_id"])
+    return planned.select("doc_id", "size", F.col(name["source_size"]).alias("source_size"),
+                          F.col(name["target"]).alias("target"), F.col(name["copies"]).alias("copies"),
+                          (F.col(name["copies"]) * F.col("size")).alias("taken"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
+named AS (SELECT doc_id, p, [w[p], w[p + 1], w[p + 2]] AS g FROM grams),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM named) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + i) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS i) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper
+  FROM d LEFT JOIN covered USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols * 10 > n_words OR word_chars > 15 * n_words
+       OR word_chars < 2 * n_words OR upper * 2 > word_chars OR n_dup_lines * 10 > n_lines * 3) AS kept
+FROM m""")
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rules = quality_rules.order_rules(docs, quality_rules.default_rules(F.col("text")), F.col("doc_id"))
+    base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    judged = quality_rules.measure(docs).withColumn("base_failed", base)
+    kept = F.when(F.col("base_failed"), False).otherwise(quality_rules.first_rejection(rules).isNull())
+    return judged.withColumn("kept", kept).drop("text")
+
+
+URL_RULES = [url_filter.UrlRule("allow", "org/"), url_filter.UrlRule("block", "example.org/es/"),
+             url_filter.UrlRule("block", "example.org/en/1"), url_filter.UrlRule("allow", "com/fr/"),
+             url_filter.UrlRule("block", "com/de/")]
+
+
+def _url_rule_sql() -> str:
+    cases = []
+    for rule in sorted(URL_RULES, key=lambda r: -len(r.place)):
+        name, slash, rest = rule.place.partition("/")
+        cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}') "
+                     f"THEN {{'rule': '{rule.place}', 'label': '{rule.verdict}'}}")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _url_level_sql(k: int) -> str:
+    """Chances of the last character after k characters, by Witten-Bell from those after k - 1."""
+    size = url_filter.ORDER + 1
+    part = f"substr(gram, {size - k}, {k + 1})"
+    mixed = ", ".join(
+        f"CASE WHEN {c}_all = 0 THEN {low} ELSE ({c} + {c}_kinds * {low}) / ({c}_all + {c}_kinds) END AS p{c}"
+        for c, low in (("a", "q.pa" if k else "CAST(1 AS DOUBLE) / 256"), ("b", "q.pb" if k else "CAST(1 AS DOUBLE) / 256")))
+    join = f"JOIN p{k - 1} q ON q.g = substr(s.g, 2, {k})" if k else ""
+    return f"""c{k} AS (SELECT {part} AS g, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
+s{k} AS (SELECT *, sum(a) OVER w AS a_all, sum(b) OVER w AS b_all, sum(CAST(a > 0 AS INTEGER)) OVER w AS a_kinds,
+  sum(CAST(b > 0 AS INTEGER)) OVER w AS b_kinds FROM c{k} WINDOW w AS (PARTITION BY substr(g, 1, {k}))),
+p{k} AS (SELECT s.g AS g, {mixed} FROM s{k} s {join})"""
+
+
+@query(f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT *, host || path AS place, {_url_rule_sql()} AS fit FROM u),
+g AS (SELECT page_id, place, fit.label AS label, unnest(list_transform(range(1, length(place) + 2),
+    lambda i: substr(repeat(chr(10), {url_filter.ORDER}) || place || chr(10), i, {url_filter.ORDER + 1}))) AS gram FROM r WHERE place <> ''),
+counts AS (SELECT gram, sum(CAST(label IS NOT DISTINCT FROM 'allow' AS INTEGER)) AS a, sum(CAST(label IS NOT DISTINCT FROM 'block' AS INTEGER)) AS b
+           FROM g GROUP BY gram),
+{", ".join(_url_level_sql(k) for k in range(url_filter.ORDER + 1))},
+scores AS (SELECT page_id, round(sum(ln(pa) - ln(pb)) / count(*), 9) AS score FROM g JOIN p{url_filter.ORDER} ON p{url_filter.ORDER}.g = gram GROUP BY page_id),
+all_scores AS (SELECT r.*, fit.label AS label, coalesce(score, 0) AS score FROM r LEFT JOIN scores USING (page_id)),
+m AS (SELECT avg(score) FILTER (label = 'allow') AS ma, stddev_pop(score) FILTER (label = 'allow') AS sa,
+             avg(score) FILTER (label = 'block') AS mb, stddev_pop(score) FILTER (label = 'block') AS sb FROM all_scores)
+SELECT page_id, host, path, fit.rule AS rule,
+       coalesce(label, CASE WHEN score >= (ma * sb + mb * sa) / (sa + sb) THEN 'allow' ELSE 'block' END) AS verdict
+FROM all_scores, m""")
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("score")

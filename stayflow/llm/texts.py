@@ -151,3 +151,26 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
         share = min(1.0, 1.2 * most / total + 50 / total)
         rows = rows.where(F.pmod(order, F.lit(1_000_000)) < int(1_000_000 * share) + 1)
     return rows.orderBy(order, key).limit(most)
+
+
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of `rows` has, so that helper columns never clash with the caller's."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def digest60(*parts: Column) -> Column:
+    """A number below 2 ** 60 from the md5 of the parts as text, joined by a bar; null counts as empty."""
+    joined = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+
+
+def let(value: Column, then) -> Column:
+    """`then` applied to a column that is evaluated once, however often `then` mentions it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
