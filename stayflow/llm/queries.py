@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import mixing, quality_rules, sharding, substring, url_filter
+from stayflow.llm import mixing, quality_rules, sharding, substring, url_filter, wavelet
+from stayflow.session import work_dir
 from stayflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +184,13 @@ SELECT page_id, host, path, fit.rule AS rule,
 FROM all_scores, m""")
 def op8_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("score")
+
+
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op9_token_output(spark, sf_dir):
+    folder = work_dir(spark, "tokens")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), folder, WORD_VOCABULARY, end_id=1, by_word=True)
+    return wavelet.read_summaries(spark, folder)
