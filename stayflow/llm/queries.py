@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import mixing, quality_rules, sharding, substring, url_filter, wavelet
+from stayflow.llm import decontaminate, mixing, quality_rules, sharding, substring, url_filter, wavelet
 from stayflow.session import work_dir
 from stayflow.sources.tables import table
 
@@ -194,3 +194,8 @@ def op9_token_output(spark, sf_dir):
     folder = work_dir(spark, "tokens")
     wavelet.write_shards(table(spark, sf_dir, "documents"), folder, WORD_VOCABULARY, end_id=1, by_word=True)
     return wavelet.read_summaries(spark, folder)
+
+
+@query()
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
