@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stayflow.llm.texts import slices
+from stayflow.llm.texts import slices, split_words
 
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+JOINED_WORDS = 64
 SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_tokens long, file binary"
 
 
@@ -53,9 +55,11 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        kind = np.uint16 if width <= 16 else np.uint32
+        ids = ids.astype(kind)
         zeros, planes = [], []
         for level in range(width):
-            ones = (ids >> np.uint32(width - 1 - level)) & np.uint32(1) != 0
+            ones = (ids & kind(1 << width - 1 - level)) != 0
             blocks = np.add.reduceat(ones, np.arange(0, len(ids), BLOCK), dtype=np.uint16) if len(ids) else np.zeros(0, np.uint16)
             planes.append((_pack(np.packbits(ones, bitorder="little")), _pack(blocks)))
             low = ids[~ones]
@@ -133,14 +137,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for level in reversed(range(self.width)):
             ones = np.unpackbits(self._plane(level)[0], count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(ids)
             before[~ones] = ids[:self.zeros[level]]
-            before[ones] = ids[self.zeros[level]:] | np.uint32(1 << self.width - 1 - level)
+            before[ones] = ids[self.zeros[level]:] | kind(1 << self.width - 1 - level)
             ids = before
-        return ids
+        return ids.astype(np.uint32)
 
 
 class Shard:
@@ -186,20 +191,49 @@ def _loaded(path: str):
     return _LOADED[path]
 
 
-def encode(path: str, texts: list[bytes], by_word: bool) -> list[np.ndarray]:
-    """Ids of UTF-8 texts. by_word: the tokenizer drops white space, so that each word can be encoded by itself once."""
+def _encode_words(tokenizer, words: list[str]) -> list[bytes]:
+    """The ids of each word, from short texts of several words: a token belongs to the word that it starts in."""
+    groups = [words[at:at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
+    out = []
+    for group, found in zip(groups, tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        begins = list(accumulate((len(w) + 1 for w in group), initial=0))
+        raw, cuts = np.array(found.ids, np.uint32).tobytes(), [0]
+        offsets = found.offsets
+        at = 0
+        for begin in begins[1:]:
+            while at < len(offsets) and offsets[at][0] < begin:
+                at += 1
+            cuts.append(4 * at)
+        out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+def encode(path: str, data: np.ndarray, offsets: np.ndarray, by_word: bool) -> list[np.ndarray]:
+    """Ids of the UTF-8 texts data[offsets[i]:offsets[i + 1]].
+
+    by_word: the tokenizer drops white space, so each word can be encoded by itself, and once for all the places
+    where the texts have it (found by 64-bit hash within the texts given).
+    """
     tokenizer, cache = _loaded(path)
+    raw = data.tobytes()
     if not by_word:
-        found = tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
-    words = [t.split() for t in texts]
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    words = split_words(data, offsets)
+    _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    kinds = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    new = list(set().union(*words).difference(cache))
-    if new:
-        found = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        cache.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, found))
-    return [np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.uint32) for ws in words]
+    new = [w for w in kinds if w not in cache]
+    cache.update(zip(new, _encode_words(tokenizer, [w.decode() for w in new])))
+    values = [cache[w] for w in kinds]
+    lengths = np.array([len(v) // 4 for v in values], np.int64)
+    flat, begins = np.frombuffer(b"".join(values), np.uint32), np.cumsum(lengths) - lengths
+    each = lengths[which]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    ids = flat[np.repeat(begins[which] - ends[:-1], each) + np.arange(ends[-1])]
+    cuts = ends[words.first]
+    return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _build(path: str, end_id: int, by_word: bool):
@@ -217,9 +251,7 @@ def _build(path: str, end_id: int, by_word: bool):
         ids, tokens, end = [], [], np.array([end_id], np.uint32)
         for batch in batches:
             for rows, data, offsets in slices(batch):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                for doc_id, found in zip(rows.column(0).to_pylist(), encode(path, texts, by_word)):
+                for doc_id, found in zip(rows.column(0).to_pylist(), encode(path, data, offsets, by_word)):
                     if tokens and held + len(found) + 1 > SHARD_TOKENS:
                         yield row(part, seq, before, ids, tokens)
                         seq, before, held, ids, tokens = seq + 1, before + held, 0, [], []
