@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import decontaminate, mixing, quality_rules, sharding, substring, url_filter, wavelet
+from stayflow.llm import decontaminate, language, line_crf, mixing, near_dedup, quality_rules, sharding, substring, url_filter, wavelet
 from stayflow.session import work_dir
+from stayflow.llm.texts import id_remainder
 from stayflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +200,37 @@ def op9_token_output(spark, sf_dir):
 @query()
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    net = language.fit(docs, ~held_out)
+    judged = language.predict(docs.select("doc_id", "text"), net)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    field = line_crf.fit(docs, labels.where(~held_out))
+    scored = line_crf.score(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [md5(array_to_string(w, ' '))]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: md5(array_to_string(w[i:i + 2], ' '))) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN n USING (doc_id)""")
+def op7_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.components(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
