@@ -7,7 +7,7 @@
    links large groups of copies in one linear pass.
 3. Then labels of components are spread, and only buckets that still hold several components are looked at again, in
    blocks of BLOCK classes: those outside the bucket's main component against all others. Of each pair of components
-   the likeliest pairs of classes go on, one in the first round and eight times as many in each later one, until no
+   the likeliest pairs of classes go on, one in the first round and 64 times as many in each later one, until no
    candidate is left untested. So no group is expanded into all its pairs, and no candidate is given up.
 
 A candidate has to pass the size bound, the odd sketch (rejecting what lies beyond 6.5 deviations of the threshold), the
@@ -226,11 +226,15 @@ def _block_rows(bounds: _Bounds, most: int):
     return work
 
 
-def _blocks(members: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt out to blocks; side 1 is compared with side 2."""
-    labeled = members.join(labels, "set_id")
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (bucket, set_id, start, label, main) of the buckets that still hold several components."""
+    labeled = members.join(found, "set_id", "left").select("bucket", "set_id", "start", F.coalesce("found", "start").alias("label"))
     state = labeled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "set_id").alias("main"))
-    mixed = labeled.join(state.where("low < high").select("bucket", "main"), "bucket")
+    return labeled.join(state.where("low < high").select("bucket", "main"), "bucket")
+
+
+def _blocks(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of unsettled buckets, dealt out to blocks; side 1 is compared with side 2."""
     sizes = mixed.groupBy("bucket").agg(F.count_if(F.col("label") == F.col("main")).alias("inside"), F.count_if(F.col("label") != F.col("main")).alias("outside"))
     rows = mixed.join(sizes, "bucket")
     ways = {c: F.ceil(F.col(c) / BLOCK).cast("int") for c in ("inside", "outside")}
@@ -268,7 +272,7 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_co
     classes = stored(classes.select("set_id", "label", "of.*"), "classes")
     banded = classes.select("set_id", "label", F.explode("bands").alias("bucket"))
     several = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("label", "set_id")).alias("lead")).where("size > 1")
-    members = stored(banded.join(several, "bucket").select("bucket", "set_id", "lead"), "members")
+    members = stored(banded.join(several, "bucket").select("bucket", "set_id", F.col("label").alias("start"), "lead"), "members")
     needed = members.select("set_id").distinct().join(classes.select("set_id", F.col("label").alias("first_id")), "set_id")
     texts = rows.where("doc_id is not null").join(needed, F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "set_id")
     sets = stored(texts.mapInArrow(_full_sets(shingle_words), "set_id binary, hashes binary").dropDuplicates(["set_id"]), "sets")
@@ -287,12 +291,12 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_co
     results = tested(star, "star", filtered=False)
     links = results.where("linked")
     nodes = classes.select(F.col("set_id").alias("node"), "label")
-    most, turn = 1, 0
+    most, turn, mixed = 1, 0, members
     while True:
         found = smallest_reachable(nodes, links).select(F.col("node").alias("set_id"), F.col("label").alias("found"))
-        labels = classes.select("set_id", "label").join(found, "set_id", "left").select("set_id", F.coalesce("found", "label").alias("label"))
         turn += 1
-        likely = _blocks(members.select("bucket", "set_id"), classes, labels).mapInArrow(_block_rows(bounds, most), "a binary, b binary, more boolean")
+        mixed = stored(_unsettled(mixed, found), f"mixed-{turn}")  # a settled bucket stays settled
+        likely = _blocks(mixed, classes).mapInArrow(_block_rows(bounds, most), "a binary, b binary, more boolean")
         likely = stored(likely.groupBy("a", "b").agg(F.max("more").alias("more")), f"likely-{turn}")
         new = likely.join(results.select("a", "b"), ["a", "b"], "left_anti").join(
             results.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
@@ -301,7 +305,9 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_co
             break
         results = results.unionByName(fresh)
         links = results.where("linked")
-        most *= 8
+        most *= 64
+    labels = stored(classes.select("set_id", "label").join(found, "set_id", "left").select(
+        "set_id", F.coalesce("found", "label").alias("label")), "labels")
     marked = every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("of_set"))
     joined = marked.join(labels, F.col("of_set") == F.col("set_id"), "left")
     component = F.coalesce("label", "doc_id")
