@@ -96,10 +96,10 @@ def default_rules(text: Column) -> list[Rule]:
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], key: Column, text_col: str = "text") -> list[Rule]:
-    """The rules by rejection per cost, both measured on at most SAMPLE_ROWS rows spread over the table by hash."""
-    sample = bounded_sample(docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
-                            F.col("key"), SAMPLE_ROWS)
-    sample = reliable_checkpoint(sample)
+    """The rules, which look at the column `text_col`, by rejection per cost, both measured on at most SAMPLE_ROWS rows spread over the table by hash."""
+    name = "sample_key" if text_col != "sample_key" else "_sample_key"
+    rows = docs.select(key.alias(name), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    sample = reliable_checkpoint(bounded_sample(rows, F.col(name), SAMPLE_ROWS))
     worth = []
     for rule in rules:
         begin = time.perf_counter()
