@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,23 @@ def dashboard(masked: DataFrame) -> DataFrame:
     )
 
 
+def _marked(name: str, mark) -> Column:
+    """A rollup key, with `mark` in subtotal rows; a NULL key stays NULL."""
+    return F.when(F.grouping(name) == 1, F.lit(mark)).otherwise(F.col(name)).alias(f"{name}_shown")
+
+
 def property_report(bookings: DataFrame) -> DataFrame:
-    """Bookings, nights and revenue by property, month and status, with subtotals; -1 and 'all' mark them."""
-    grouped = bookings.withColumn("month", F.date_format("check_in", "yyyy-MM")).rollup("property_id", "month", "status")
-    return grouped.agg(
-        F.count(F.lit(1)).alias("bookings"),
-        F.sum("nights").alias("nights"),
-        F.sum("total_price").cast("double").alias("revenue"),
-    ).select(
-        F.coalesce("property_id", F.lit(-1)).alias("property_id"),
-        F.coalesce("month", F.lit("all")).alias("month"),
-        F.coalesce("status", F.lit("all")).alias("status"),
-        "bookings", "nights", "revenue",
-    )
+    """Bookings, nights and revenue by property, month and status, with subtotals; -1 and 'all' mark them.
+
+    Bookings are added up by all three keys first, so that only these sums are copied for the subtotals.
+    """
+    sums = bookings.groupBy("property_id", F.date_format("check_in", "yyyy-MM").alias("month"), "status").agg(
+        F.count(F.lit(1)).alias("bookings"), F.sum("nights").alias("nights"), F.sum("total_price").alias("revenue"))
+    return sums.rollup("property_id", "month", "status").agg(
+        _marked("property_id", -1), _marked("month", "all"), _marked("status", "all"),
+        F.sum("bookings").alias("bookings"), F.sum("nights").alias("nights"), F.sum("revenue").cast("double").alias("revenue"),
+    ).select(F.col("property_id_shown").alias("property_id"), F.col("month_shown").alias("month"),
+             F.col("status_shown").alias("status"), "bookings", "nights", "revenue")
 
 
 def campaign_rollup(events: DataFrame) -> DataFrame:
@@ -37,6 +41,8 @@ def campaign_rollup(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("campaign"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.col("value").cast("decimal(12,2)").alias("value"),
     )
-    return rows.rollup("campaign", "day").agg(
-        F.count(F.lit(1)).alias("events"), F.sum("value").cast("double").alias("total_value")
-    ).select(F.coalesce("campaign", F.lit("all")).alias("campaign"), F.coalesce("day", F.lit("all")).alias("day"), "events", "total_value")
+    sums = rows.groupBy("campaign", "day").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
+    return sums.rollup("campaign", "day").agg(
+        _marked("campaign", "all"), _marked("day", "all"),
+        F.sum("events").alias("events"), F.sum("value").cast("double").alias("total_value"),
+    ).select(F.col("campaign_shown").alias("campaign"), F.col("day_shown").alias("day"), "events", "total_value")

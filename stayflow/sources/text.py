@@ -9,12 +9,16 @@ from stayflow import fixed_values as V
 
 
 def parse_offsets(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Topic and offset of the offset lines; all other lines are skipped."""
-    line = F.col(column)
-    return lines.filter(line.rlike(V.OFFSET_PATTERN)).select(
-        F.regexp_extract(line, V.OFFSET_PATTERN, 1).alias("topic"),
-        F.regexp_extract(line, V.OFFSET_PATTERN, 2).cast("long").alias("offset"),
-    )
+    """Topic and offset of the offset lines; all other lines are skipped.
+
+    A line is a metric name, labels in braces and a floating-point value, as in `name{topic="a"} 1.5e+06`. The topic is
+    the label of exactly that name; a line without it, or with a value that is not a number, is no offset line.
+    """
+    sample = rf'^{V.OFFSET_METRIC}\{{(.*)\}}\s+(\S+)'
+    labels = F.regexp_extract(column, sample, 1)
+    topic = F.regexp_extract(labels, r'(?:^|,)\s*topic="((?:[^"\\]|\\.)*)"', 1)
+    offset = F.regexp_extract(column, sample, 2).try_cast("decimal(38,6)").try_cast("long")
+    return lines.select(topic.alias("topic"), offset.alias("offset")).where("topic <> '' and offset is not null")
 
 
 def topic_totals(offsets: DataFrame, topics: list[str]) -> DataFrame:
