@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from stayflow import fixed_values as V
 from stayflow.functions.messages import cast_booking, read_booking
-from stayflow.operators.latest import pick_first
 from stayflow.operators.writes import update_where_key
 
 # Columns that a booking message may set.
@@ -25,9 +24,20 @@ RECORD_SCHEMA = (
 )
 
 
-def last_message() -> list[Column]:
-    """Newest message first; messages that agree on all of this are equal."""
-    return [F.col(c).desc_nulls_last() for c in ["timestamp", "total_price", *EVENT_COLUMNS]]
+def _order() -> Column:
+    """Later messages are greater; messages that agree on all of this are equal."""
+    return F.struct(*(F.col(c) for c in ["timestamp", "total_price", *EVENT_COLUMNS]))
+
+
+def merge_messages(good: DataFrame) -> DataFrame:
+    """One row per booking: the last value that any message carries for each field, and the first message's time.
+
+    Messages are combined before the shuffle. Defaults are for fields that no message carries.
+    """
+    fields = [c for c in good.columns if c not in ("booking_id", "timestamp")]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), _order())).alias(c) for c in fields]
+    merged = good.groupBy("booking_id").agg(*latest, F.min("timestamp").alias("timestamp"))
+    return merged.withColumn("guests", F.coalesce("guests", F.lit(V.DEFAULT_GUESTS)))
 
 
 def enrich(good: DataFrame) -> DataFrame:
@@ -42,12 +52,15 @@ def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: decode a batch once and write accepted and rejected records apart.
 
     A batch is written without a shuffle into its own folder, which a replay replaces, so its cost follows
-    the batch and not the table. `booking_table` takes the last message per booking when it is read.
+    the batch and not the table. A number of guests that a message does not carry is stored as NULL, so that it
+    overwrites nothing when `booking_table` merges the messages.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        cast = cast_booking(read_booking(batch)).withColumn("accepted", F.col("rejected") == "")
-        cast.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
+        raw = read_booking(batch).withColumn("guests_sent", F.col("guests").isNotNull())
+        cast = cast_booking(raw).withColumns(
+            {"accepted": F.col("rejected") == "", "guests": F.when(F.col("guests_sent"), F.col("guests"))})
+        cast.drop("guests_sent").write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
 
     return write
 
@@ -60,7 +73,7 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
 def booking_table(spark: SparkSession, path: str) -> DataFrame:
     """The bookings after all accepted messages."""
     good = ingested(spark, path).filter("accepted").drop("batch", "accepted", "rejected")
-    return enrich(pick_first(good, ["booking_id"], last_message()))
+    return enrich(merge_messages(good))
 
 
 def rejected_messages(spark: SparkSession, path: str) -> DataFrame:
