@@ -91,6 +91,7 @@ TTL_BOOKING = 3600
 # Retention and staleness in days.
 RETENTION_DAYS = 14
 STALE_DAYS = 35
+STALE_HOLD_SECONDS = 3600
 
 # Event time window, watermark and trigger of the revenue stream.
 WINDOW = "5 minutes"
@@ -98,6 +99,9 @@ WATERMARK = "10 minutes"
 TRIGGER = "10 seconds"
 
 # Alert notification timing.
-GROUP_WAIT = "30 seconds"
-REPEAT_INTERVAL = "4 hours"
-RESOLVE_TIMEOUT = "5 minutes"
+GROUP_WAIT_SECONDS = 30
+GROUP_INTERVAL_SECONDS = 5 * 60
+REPEAT_INTERVAL_SECONDS = 4 * 3600
+RESOLVE_TIMEOUT_SECONDS = 5 * 60
+#: A series without samples for this long is no longer true.
+STALENESS = "5 minutes"

@@ -27,7 +27,7 @@ def at(minute, value, series="a", state=None):
 
 def test_one_false_sample_resets_the_hold(spark):
     data = [at(0, 1), at(5, 1), at(8, 50), at(9, 1), at(18, 1)]
-    out = alerts.evaluate(samples(spark, data), [RULE], by_series()).orderBy("started_at").collect()
+    out = alerts.evaluate(samples(spark, data), [RULE], by_series(), max_gap="1 hour").orderBy("started_at").collect()
     assert [(r.held_seconds, r.state) for r in out] == [(300, "pending"), (540, "pending")]
 
 
@@ -63,17 +63,47 @@ def test_aggregate_rule(spark):
     assert [(r.steps, r.held_seconds, r.state) for r in out] == [(2, 120, "firing")]
 
 
-def test_notifications_once_per_interval(spark):
-    data = [("2024-01-01 00:10:00", "warning"), ("2024-01-01 03:00:00", "critical"), ("2024-01-01 05:00:00", "warning")]
-    firing = spark.createDataFrame(data, "t string, severity string").select(
-        F.lit("Low").alias("alertname"), F.col("t").cast("timestamp_ntz").alias("fired_at"),
-        F.col("t").cast("timestamp_ntz").alias("last_at"), "severity",
+def test_a_silence_ends_a_run(spark):
+    data = [at(0, 1), at(4, 1), at(12, 1), at(14, 1)]
+    out = alerts.evaluate(samples(spark, data), [RULE], by_series()).orderBy("started_at").collect()
+    assert [(r.held_seconds, r.state) for r in out] == [(240, "pending"), (120, "pending")]
+
+
+def test_times_and_value_come_from_matching_samples(spark):
+    data = [("2024-01-01 10:00:00", "a", "no", 99.0), ("2024-01-01 10:00:10", "a", "up", 1.0), ("2024-01-01 10:00:20", "a", "up", 2.0),
+            ("2024-01-01 10:00:50", "a", "no", 77.0)]
+    rule = replace(RULE, hold_seconds=30, matcher=alerts.label_matches("state", "up"))
+    out = alerts.evaluate(samples(spark, data), [rule], by_series()).collect()
+    assert [(r.held_seconds, r.state, r.last_value) for r in out] == [(10, "pending", 2.0)]
+
+
+def test_equality_rule(spark):
+    data = [at(0, 1), at(1, 1), at(2, 1), at(3, 0)]
+    out = alerts.evaluate(samples(spark, data), [alerts.SEALED], by_series()).collect()
+    assert [(r.held_seconds, r.state) for r in out] == [(120, "firing")]
+
+
+def fired(spark, data):
+    return spark.createDataFrame(data, "f string, l string, severity string").select(
+        F.lit("Low").alias("alertname"), F.col("f").cast("timestamp_ntz").alias("fired_at"),
+        F.col("l").cast("timestamp_ntz").alias("last_at"), "severity",
     )
-    out = alerts.notifications(firing, ["alertname"]).orderBy("period").collect()
-    assert [(str(r.notify_at), str(r.resolved_at), r.alerts, r.receiver) for r in out] == [
-        ("2024-01-01 00:10:30", "2024-01-01 03:05:00", 2, "email-critical"),
-        ("2024-01-01 05:00:30", "2024-01-01 05:05:00", 1, "email-default"),
-    ]
+
+
+def test_notifications_repeat_until_resolved(spark):
+    data = [("2024-01-01 00:10:00", "2024-01-01 09:00:00", "warning")]
+    out = alerts.notifications(fired(spark, data), ["alertname"]).orderBy("notify_at").collect()
+    assert [(str(r.notify_at)[11:], r.kind) for r in out] == [
+        ("00:10:30", "firing"), ("04:10:30", "repeat"), ("08:10:30", "repeat"), ("09:05:30", "resolved")]
+
+
+def test_later_alerts_of_an_open_group_wait_for_the_next_look(spark):
+    data = [("2024-01-01 00:10:00", "2024-01-01 00:30:00", "warning"), ("2024-01-01 00:12:00", "2024-01-01 00:40:00", "critical"),
+            ("2024-01-01 02:00:00", "2024-01-01 02:00:00", "warning")]
+    out = alerts.notifications(fired(spark, data), ["alertname"]).orderBy("notify_at").collect()
+    assert [(str(r.notify_at)[11:], r.kind, r.alerts, r.receiver) for r in out] == [
+        ("00:10:30", "firing", 1, "email-default"), ("00:15:30", "firing", 2, "email-critical"), ("00:45:30", "resolved", 2, "email-critical"),
+        ("02:00:30", "firing", 1, "email-default"), ("02:05:30", "resolved", 1, "email-default")]
 
 
 def test_counter_restart(spark):
@@ -86,4 +116,15 @@ def test_counter_restart(spark):
 def test_stale_keys(spark):
     df = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-02-20"), ("b", "2024-01-20")], "k string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
     now = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
-    assert [r.k for r in alerts.stale_keys(df, "k", "t", now).collect()] == ["b"]
+    assert [(r.k, r.state) for r in alerts.stale_keys(df, "k", "t", now).collect()] == [("b", "firing")]
+    soon = F.lit("2024-02-24 00:30:00").cast("timestamp_ntz")
+    assert [(r.k, r.state) for r in alerts.stale_keys(df, "k", "t", soon).collect()] == [("b", "pending")]
+
+
+def test_counter_across_cells(spark):
+    values = [(3 * i, (i * 7919) % 50) for i in range(300)]
+    counters = spark.createDataFrame(values, "s long, v long").select(
+        F.lit("a").alias("k"), F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "v", F.col("s").alias("id"))
+    got = {cells: [(r.samples, r.rate) for r in alerts.counter_rate(counters, ["k"], "ts", "v", "id", cell_seconds=cells).orderBy("window_start").collect()]
+           for cells in (10, 300)}
+    assert got[10] == got[300] and len(got[10]) == 3
