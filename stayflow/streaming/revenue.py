@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow import fixed_values as V
 from stayflow.functions.messages import decode_marketing, with_event_time
+from stayflow.operators.joins import lookup_join
 from stayflow.operators.latest import pick_first
 
 
@@ -48,3 +49,21 @@ def newest_windows(updates: DataFrame) -> DataFrame:
     """The last value of each window from the batches of an update-mode query."""
     last = pick_first(updates, ["window_start", "property_id"], [F.col("batch").desc()])
     return last.drop("batch")
+
+
+def late_rows(rows: DataFrame, delivery: str, ts: str, width: str = V.WINDOW, watermark: str = V.WATERMARK) -> DataFrame:
+    """Per delivery, its rows and those whose window had closed: it ended at or before the watermark that earlier
+    deliveries left. Rows are summed up by delivery and window before anything is joined; a row without a time is
+    in no window and never late. Deliveries, not rows, are put in order.
+    """
+    end = F.window(F.coalesce(ts, F.lit(0).cast("timestamp").cast("timestamp_ntz")), width)["end"]
+    cells = rows.withColumn("_slot", end).groupBy(delivery, F.when(F.col(ts).isNotNull(), F.col("_slot")).alias("_end")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(ts).alias("_newest")
+    )
+    earlier = Window.orderBy(delivery).rowsBetween(Window.unboundedPreceding, -1)
+    newest = cells.groupBy(delivery).agg(F.max("_newest").alias("_newest"))
+    marks = newest.select(delivery, (F.max("_newest").over(earlier) - F.expr(f"INTERVAL {watermark}")).alias("_mark"))
+    late = F.when(F.col("_end") <= F.col("_mark"), F.col("_rows")).otherwise(0)
+    return lookup_join(cells.drop("_newest"), marks, [delivery], "left").groupBy(delivery).agg(
+        F.sum("_rows").alias("input_rows"), F.sum(late).alias("dropped")
+    )

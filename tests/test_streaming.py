@@ -222,3 +222,10 @@ def test_log_tail_labels_files(spark, tmp_path):
     got = batches(spark, out, lines.schema).collect()
     assert sorted(r.line for r in got) == ["", "one", "two\r"]
     assert all(r.job == "containerlogs" and r.file_path.endswith("a.log") for r in got)
+
+
+def test_late_rows_per_delivery(spark):
+    data = [(1, "2024-01-01 10:00:00"), (1, "2024-01-01 11:00:00"), (2, "2024-01-01 10:40:00"), (2, "2024-01-01 10:51:00"), (2, None)]
+    given = spark.createDataFrame(data, "batch int, t string").select("batch", F.col("t").cast("timestamp_ntz").alias("ts"))
+    out = revenue.late_rows(given, "batch", "ts").orderBy("batch").collect()
+    assert [tuple(r) for r in out] == [(1, 2, 0), (2, 3, 1)]
