@@ -35,6 +35,11 @@ def bookings_optional_filter(spark, sf_dir):
     return optional_property(views.stays(spark, sf_dir), None).select("id", "property_id", "nights")
 
 
+@query(f"WITH {STAYS} SELECT id, property_id, nights FROM stays WHERE property_id = 17")
+def bookings_of_property(spark, sf_dir):
+    return optional_property(views.stays(spark, sf_dir), 17).select("id", "property_id", "nights")
+
+
 @query("SELECT event_id, 'BK-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || user_id AS booking_id FROM events")
 def booking_key(spark, sf_dir):
     events = table(spark, sf_dir, "events")

@@ -39,3 +39,11 @@ def test_the_stream_drops_late_partial_results(spark):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_rows_come_in_order(spark):
+    ids = [r.id for r in contract.queries()["properties_by_id"](spark, SF).collect()]
+    assert ids == sorted(ids) and len(ids) > 1
+    listed = [(r.created_at, r.id) for r in contract.queries()["bookings_with_property"](spark, SF).collect()]
+    by_id = sorted(listed, key=lambda row: row[1])
+    assert listed == sorted(by_id, key=lambda row: row[0], reverse=True) and len(listed) > 1
