@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from stayflow import fixed_values as V
 from stayflow.functions.messages import outbox, with_dedup_key
 from stayflow.session import build_session
@@ -34,8 +36,10 @@ def main() -> None:
         topics(V.TOPIC_BOOKINGS).writeStream.foreachBatch(ingest_batch(f"{args.out}/bookings")),
         "booking-ingest", f"{args.out}/checkpoints/bookings", trigger=V.TRIGGER,
     )
-    # A booking is confirmed by mail once; a repeated message within a day sends nothing.
-    once = first_seen(with_dedup_key(topics(V.TOPIC_BOOKINGS)), ["dedup_key"], V.TTL_PROCESSED)
+    # A booking is confirmed by mail once; a repeated message within a day sends nothing. Messages without any id are
+    # rejected by the ingest above: they would all be repeats of one key.
+    known = with_dedup_key(topics(V.TOPIC_BOOKINGS)).filter(F.col("dedup_key") != V.DEFAULT_KEY)
+    once = first_seen(known, ["dedup_key"], V.TTL_PROCESSED)
     start(
         outbox(once, args.brand).writeStream.foreachBatch(batch_files(f"{args.out}/confirmations")),
         "confirmations", f"{args.out}/checkpoints/confirmations", trigger=V.TRIGGER,
