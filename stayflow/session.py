@@ -56,20 +56,31 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _set_by_user(spark: SparkSession, name: str) -> bool:
+    """Whether the session has a value of its own for a setting, rather than Spark's default."""
+    return name in spark.conf.getAll
+
+
 @contextmanager
 def stream_conf(spark: SparkSession):
-    """Fix the number of state partitions while a streaming query starts.
+    """Fix the state store and the number of state partitions while a streaming query starts.
+
+    State lies in RocksDB, so that it need not fit in executor memory, unless the session names another store.
 
     A stateful query keeps the partition count of its first start for the life of its checkpoint and is
     not coalesced at run time. spark.stayflow.state.partitions names it; otherwise a cluster uses its
     spark.sql.shuffle.partitions and local mode its cores.
     """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
+    name, store = "spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass"
+    before, own_store = spark.conf.get(name), _set_by_user(spark, store)
     local = spark.sparkContext.master.startswith("local")
     wanted = spark.conf.get("spark.stayflow.state.partitions", None)
+    if not own_store:
+        spark.conf.set(store, ROCKSDB)
     spark.conf.set(name, wanted or (str(spark.sparkContext.defaultParallelism) if local else before))
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        if not own_store:
+            spark.conf.unset(store)
