@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayflow.llm import decontaminate, language, mixing, near_dedup, sharding
-from stayflow.llm.texts import id_remainder, word_count
+from stayflow.llm.texts import fresh, id_remainder, word_count
 from stayflow.session import work_dir
 from stayflow.sources.tables import table
 
@@ -21,11 +21,20 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found. The network learns from rows outside the held-out third."""
+    """Documents in which a language is found with a score that reaches the threshold of `language.accepted`.
+
+    The network learns from rows outside the held-out third; the threshold is set by all labelled rows.
+    """
     learn = F.coalesce(id_remainder(F.col("doc_id"), 3) != 1, F.lit(False))
-    verdict, score = "predicted_language", "predicted_score"
-    judged = language.predict(docs, language.fit(docs, learn), lang_col=verdict, score_col=score)
-    return judged.where(F.col(verdict) != language.UNKNOWN).select(docs.columns)
+    verdict, score = fresh(docs, "predicted_language", "predicted_score")
+    net = language.fit(docs, learn)
+    judged = language.predict(docs, net, lang_col=verdict, score_col=score)
+    if net is None:
+        return judged.where(F.col(verdict) != language.UNKNOWN).select(docs.columns)
+    folder = work_dir(spark, "language")
+    judged.write.parquet(folder)
+    judged = spark.read.parquet(folder)
+    return judged.where(language.accepted(judged, net, "lang", "text", verdict, score)).select(docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ The network is trained on the driver in numpy, by backpropagation through time w
 labelled documents chosen by hash over the whole table and WORDS_EACH words per language from them; prediction uses
 text only. Null texts and texts without a letter are `und` with score 0, and so are all texts if nothing is labelled.
 Repeated rows are judged alike; labels with null text or null language are not learnt from.
+
+`accepted` tells the texts whose score is high enough for their length: see there for the threshold.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ HIDDEN = 8
 SEGMENT = 48
 KNOWN_WORDS = 600_000
 UNKNOWN = "und"
+#: Scores are counted in steps of 1 / SCORE_STEPS; the lowest LOWEST of the rightly judged ones do not set the threshold.
+SCORE_STEPS = 1000
+LOWEST = 0.01
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -237,3 +242,42 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", lang_c
 
     schema = docs.withColumns({lang_col: F.lit(""), score_col: F.lit(0.0)}).schema
     return docs.mapInArrow(work, schema)
+
+
+def thresholds(judged: DataFrame, net: Network, label_col: str, text_col: str, lang_col: str, score_col: str) -> dict[int, float]:
+    """Per length class (whole part of the binary logarithm of the bytes) the score from which a text is accepted.
+
+    It lies halfway between chance (1 / languages) and the score that all but the lowest LOWEST of the labelled rows of
+    the class reach which are judged as labelled. All labelled rows count; one number per class and score step is collected.
+    """
+    right = judged.where(F.col(label_col) == F.col(lang_col))
+    counts = right.groupBy(_length_class(text_col).alias("cls"), F.floor(F.col(score_col) * SCORE_STEPS).alias("step")).count()
+    by_class: dict[int, list[tuple[int, int]]] = {}
+    for r in counts.collect():
+        by_class.setdefault(r.cls, []).append((r.step, r["count"]))
+    chance, out = 1 / len(net.languages), {}
+    for cls, steps in by_class.items():
+        steps.sort()
+        beyond = np.cumsum([n for _, n in steps])
+        sure = steps[int(np.searchsorted(beyond, LOWEST * beyond[-1], side="right"))][0] / SCORE_STEPS
+        out[cls] = chance + max(0.0, sure - chance) / 2
+    return out
+
+
+def _length_class(text_col: str) -> Column:
+    return F.floor(F.log2(F.octet_length(F.col(text_col)))).cast("int")
+
+
+def accepted(judged: DataFrame, net: Network, label_col: str, text_col: str = "text", lang_col: str = "lang_pred",
+             score_col: str = "score") -> Column:
+    """Whether a language is found in a text, with a score that reaches the threshold of its length class.
+
+    `judged` is the result of `predict` with the labels; it is read once more, so have it written. A class without
+    rightly judged labelled rows takes the threshold of the next shorter class that has some; below all of these, and
+    with fewer than two languages, the score rejects nothing.
+    """
+    least = F.lit(0.0)
+    if len(net.languages) > 1:
+        for cls, threshold in sorted(thresholds(judged, net, label_col, text_col, lang_col, score_col).items()):
+            least = F.when(_length_class(text_col) >= cls, threshold).otherwise(least)
+    return (F.col(lang_col) != UNKNOWN) & (F.col(score_col) >= least)
