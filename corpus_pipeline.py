@@ -23,16 +23,16 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found with a score that reaches the threshold of `language.accepted`.
 
-    The network learns from rows outside the held-out third; the threshold is set by all labelled rows.
+    The network learns from rows outside the held-out third; the threshold is set by all labelled rows. If no row
+    outside that third has id, text and label, there is no network: all texts with a letter stay.
     """
     learn = F.coalesce(id_remainder(F.col("doc_id"), 3) != 1, F.lit(False))
     verdict, score = fresh(docs, "predicted_language", "predicted_score")
     net = language.fit(docs, learn)
-    judged = language.predict(docs, net, lang_col=verdict, score_col=score)
     if net is None:
-        return judged.where(F.col(verdict) != language.UNKNOWN).select(docs.columns)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     folder = work_dir(spark, "language")
-    judged.write.parquet(folder)
+    language.predict(docs, net, lang_col=verdict, score_col=score).write.parquet(folder)
     judged = spark.read.parquet(folder)
     return judged.where(language.accepted(judged, net, "lang", "text", verdict, score)).select(docs.columns)
 

@@ -50,6 +50,12 @@ def test_an_untrained_network_keeps_other_rows(spark, monkeypatch):
     assert kept(spark, rows) != trained
 
 
+def test_without_labels_all_texts_with_a_letter_stay(spark):
+    rows = [(i, text, None, source, n) for i, text, _, source, n in corpus()] + [(2003, "é", None, "s", 0), (2004, "人 1", None, "s", 0)]
+    assert kept(spark, rows) == set(range(300)) | set(range(1000, 1030)) | {2003, 2004}
+    assert kept(spark, []) == set()
+
+
 def test_thresholds_lie_between_chance_and_the_scores_of_right_rows(spark):
     rows = [(i, "x" * 9, "aa", "aa", 0.9) for i in range(150)] + [(200, "x" * 9, "aa", "aa", 0.3), (201, "x" * 9, "aa", "bb", 0.4)]
     rows += [(300, "x" * 300, "bb", "bb", 0.7), (301, "x" * 70, None, "bb", 0.6)]
