@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayflow.llm.components import smallest_reachable
-from stayflow.llm.texts import mix, slices, split_words, window_hashes
+from stayflow.llm.texts import fresh, mix, slices, split_words, window_hashes
 from stayflow.session import work_dir
 
 BANDS, ROWS = 32, 4
@@ -315,8 +315,17 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_co
 
 
 def drop_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs`, all its columns, with one document of each component; rows that repeat an id go or stay together."""
-    kept = components(docs, shingle_words, percent, id_col, text_col).where("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs[id_col].cast("long") == kept.kept_id, "left_semi")
-    return stay.unionByName(docs.where(docs[id_col].isNull()))
+    """`docs`, all its columns, with one row of each component, whatever the ids: every row gets a key of its own.
+
+    The row with the smallest id stays, of several with this id any one; rows without an id stand behind all others.
+    Rows without shingles (null or empty text) all stay.
+    """
+    spark = docs.sparkSession
+    key, absent = fresh(docs, "row_key", "absent")
+    folder = work_dir(spark, "near-dedup-rows")
+    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)  # written, so that a key stays with its row
+    keyed = spark.read.parquet(folder)
+    of = components(keyed, shingle_words, percent, key, text_col).select(F.col("doc_id").alias(key), "component_id")
+    ids = keyed.select(key, F.col(id_col).isNull().alias(absent), F.col(id_col).alias("first_id"))
+    first = ids.join(of, key).groupBy("component_id").agg(F.min(F.struct(absent, "first_id", key)).alias("first"))
+    return keyed.join(first.select(F.col(f"first.{key}").alias(key)), key, "left_semi").select(docs.columns)

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from stayflow.llm import language
+from stayflow.llm import language, near_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -65,3 +65,37 @@ def test_thresholds_lie_between_chance_and_the_scores_of_right_rows(spark):
     assert found == {3: pytest.approx(0.7, abs=1e-3), 8: pytest.approx(0.6, abs=1e-3)}
     left = judged.where(language.accepted(judged, net, "lang")).collect()
     assert {r.doc_id for r in left} == set(range(150)) | {300}
+
+
+def groups(texts, length=5):
+    """Brute force: for each text the first place among the texts that it is linked with, itself if none."""
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[p:p + length]) for p in range(len(w) - length + 1)} or ({tuple(w)} if w else set())
+
+    sets, of = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(of[a], of[b]), min(of[a], of[b])
+                of = [new if x == old else x for x in of]
+    return of
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(8)
+    base = [made(rng, list("abcdefgh"), 60) for _ in range(8)]
+    near = [t + " one more" for t in base]
+    rows = [(7, base[0]), (7, base[0]), (3, near[0]), (7, base[1]), (8, near[1]), (8, base[2]), (9, near[2]), (9, base[3])]
+    rows += [(None, base[4]), (None, near[4]), (None, base[4]), (None, base[0]), (None, base[5]), (12, near[5])]
+    rows += [(1, base[6]), (1, base[7]), (2, near[6]), (2, near[7]), (5, None), (5, None), (None, None), (6, ""), (6, " ")]
+    rows = [(i, t, None, "s", n) for n, (i, t) in enumerate(rows)]
+    out = near_dedup.drop_duplicates(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    left = out.collect()
+    of = groups([r[1] for r in rows])
+    assert sorted(of[r.n_chars] for r in left) == sorted(set(of))
+    for r in left:
+        assert (r.doc_id, r.text) == rows[r.n_chars][:2]
+        ids = [rows[n][0] for n in range(len(rows)) if of[n] == of[r.n_chars]]
+        assert r.doc_id == min((i for i in ids if i is not None), default=None)
