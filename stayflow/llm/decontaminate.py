@@ -5,9 +5,14 @@ stretch of the document has an edit distance of at most k = share * m to it. Suc
 m + 1 - q - k * q of the item's q-grams (the q-gram lemma), all on diagonals that differ by 2 * k at most. Shared
 q-grams are counted in overlapping bands of diagonals; bands that reach the bound are verified by banded alignment.
 
-The benchmark is a stated query set against all documents: it goes out in blocks of BLOCK_CHARS characters, each
-broadcast by its own, and every document is read once per block, without a shuffle. An item too short for a bound at
-any q is looked for without edits. Null and empty items match nothing, null and empty texts are matched by nothing;
+An item longer than SEGMENT characters is also looked for in segments of that length, one every STEP characters and one
+at its end, each with an edit budget and a bound of its own. So a document that quotes SEGMENT + STEP - 1 characters of
+an item in a row, with edits within the budget, is found. Where the whole item is found, its place is reported,
+else that of the segment with the fewest edits, the first of several.
+
+The benchmark is a stated query set against all documents: it goes out in blocks of BLOCK_CHARS characters (segments
+included), each broadcast by its own, and every document is read once per block, without a shuffle. An item too short
+for a bound at any q is looked for without edits. Null and empty items match nothing, null and empty texts are matched by nothing;
 repeated items and rows are reported each. A text is worked on whole, in as many q-grams as it has.
 """
 
@@ -27,6 +32,7 @@ BLOCK_CHARS = 4_000_000
 SLICE = 1 << 20
 SHARE = 0.1
 LONGEST_GRAM = 8
+SEGMENT, STEP = 200, 50
 _BITS = 22
 FAR = np.int32(1 << 28)
 #: Candidates aligned at a time.
@@ -61,6 +67,11 @@ def _gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
     return mix(out, q)
 
 
+def _segment_starts(length: int) -> list[int]:
+    """Where the segments of an item begin; none for an item that is no longer than one."""
+    return [*range(0, length - SEGMENT, STEP), length - SEGMENT] if length > SEGMENT else []
+
+
 @dataclass
 class _Grams:
     """All grams of one length: sorted hashes, and where each occurs, as item and place."""
@@ -74,13 +85,15 @@ class _Grams:
 
 
 class Index:
-    """A block of benchmark items."""
+    """A block of benchmark items: whole ones first, then segments; `owner` tells the whole item of each."""
 
     def __init__(self, items: list[tuple[object, str | None]], share: float):
         cleaned = [(i, _chars(normalize(t))) for i, t in items]
         cleaned = [(i, c) for i, c in cleaned if len(c)]
         self.ids = [i for i, _ in cleaned]
-        self.chars = [c for _, c in cleaned]
+        cut = [(n, c[a:a + SEGMENT]) for n, (_, c) in enumerate(cleaned) for a in _segment_starts(len(c))]
+        self.chars = [c for _, c in cleaned] + [c for _, c in cut]
+        self.owner = np.array([*range(len(cleaned)), *(n for n, _ in cut)], np.int64)
         limits = [budget(len(c), share) for c in self.chars]
         self.edits = np.array([k for k, _, _ in limits], np.int64)
         self.bound = np.array([t for _, _, t in limits], np.int64)
@@ -109,14 +122,14 @@ class Index:
             text = np.searchsorted(starts, at, side="right") - 1
             times = g.first[key + 1] - g.first[key]
             which = np.repeat(g.first[key], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            pair = np.repeat(text * len(self.ids), times) + g.item[which]
+            pair = np.repeat(text * len(self.chars), times) + g.item[which]
             # A pair needs the bound in all its bands together, before it can have it in one.
             _, back, total = np.unique(pair, return_inverse=True, return_counts=True)
             enough = total[back] >= self.bound[g.item[which]]
             which, pair, at = which[enough], pair[enough], np.repeat(at, times)[enough]
             item, place = g.item[which], g.place[which]
             # Diagonals are made positive by twice the length of all texts.
-            diagonal = at - starts[pair // len(self.ids)] - place + 2 * len(chars)
+            diagonal = at - starts[pair // len(self.chars)] - place + 2 * len(chars)
             band = diagonal // (2 * self.edits[item] + 1)
             pair, band, place = (np.concatenate(x) for x in ([pair, pair], [band, band - 1], [place, place]))
             order = np.lexsort((place, band, pair))
@@ -129,9 +142,9 @@ class Index:
             begin = np.flatnonzero(new)
             counts = np.diff(np.append(begin, len(pair)))
             pair, band = pair[begin], band[begin]
-            item = pair % len(self.ids)
+            item = pair % len(self.chars)
             hit = counts >= self.bound[item]
-            out.append(np.stack([pair[hit] // len(self.ids), item[hit],
+            out.append(np.stack([pair[hit] // len(self.chars), item[hit],
                                  band[hit] * (2 * self.edits[item[hit]] + 1) - 2 * len(chars)], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
@@ -143,15 +156,27 @@ class Index:
         lengths = np.array([len(t) for t in texts])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         found = self._candidates(joined, starts)
+        whole = found[:, 1] < len(self.ids)
+        best = self._verified(found[whole], joined, starts, lengths)
+        parts = found[~whole]
+        if len(parts) and best:
+            known = np.array([t * len(self.ids) + i for t, i in best])
+            parts = parts[~np.isin(parts[:, 0] * len(self.ids) + self.owner[parts[:, 1]], known)]
+        best |= self._verified(parts, joined, starts, lengths)
+        return [(text, item, *got) for (text, item), got in sorted(best.items())]
+
+    def _verified(self, found: np.ndarray, joined: np.ndarray, starts: np.ndarray,
+                  lengths: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """Fewest edits, start and end by text and whole item."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for at in range(0, len(found), ALIGNED):
             text, item, low = found[at:at + ALIGNED].T
             k = self.edits[item]
             got = align([self.chars[i] for i in item], joined, starts[text], lengths[text], low - k, low + 5 * k + 2, k)
-            for t, i, g in zip(text.tolist(), item.tolist(), got):
+            for t, i, g in zip(text.tolist(), self.owner[item].tolist(), got):
                 if g and ((t, i) not in best or g < best[t, i]):
                     best[t, i] = g
-        return [(text, item, *got) for (text, item), got in sorted(best.items())]
+        return best
 
 
 def _last_rows(items: np.ndarray, lengths: np.ndarray, chars: np.ndarray, valid: np.ndarray, row: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -228,7 +253,8 @@ def align(items: list[np.ndarray], joined: np.ndarray, starts: np.ndarray, lengt
 def _index_blocks(benchmark: DataFrame, id_col: str, text_col: str, share: float):
     """Broadcast indexes of the benchmark, one block after the other."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    times = F.when(F.length("text") > SEGMENT, 1 + SEGMENT // STEP).otherwise(1)
+    chars = items.agg(F.coalesce(F.sum(F.length("text") * times), F.lit(0))).first()[0]
     blocks = -(-chars // BLOCK_CHARS)
     for n in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n).collect()
