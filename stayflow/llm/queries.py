@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import decontaminate, language, line_crf, mixing, near_dedup, quality_rules, sharding, substring, url_filter, wavelet
+from stayflow.llm import (decontaminate, language, line_crf, mixing, near_dedup, quality_rules, sharding, spelling, substring,
+                          url_filter, wavelet)
 from stayflow.session import work_dir
 from stayflow.llm.texts import id_remainder
 from stayflow.sources.tables import table
@@ -234,3 +235,33 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM least LEFT JOIN n USING (doc_id)""")
 def op7_minhash_near_dedup(spark, sf_dir):
     return near_dedup.components(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text of ASCII or longer characters, with the table of CRC_SQL joined as crc.t."""
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(hex({text})), 2),
+      lambda i: CAST('0x' || substr(hex({text}), i, 2) AS BIGINT))), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295)"""
+
+
+@query(rf"""WITH RECURSIVE crc AS (SELECT {CRC_SQL} AS t),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+         FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents)),
+kinds AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r AS place, any_value(r) AS r, count(*) AS n FROM runs WHERE length(r) >= 5 GROUP BY 1),
+marked AS (SELECT r, n, {_crc_sql("place")} AS h FROM kinds, crc),
+changed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS INTEGER)) || substr(r, CAST(h % length(r) AS INTEGER) + 2) ELSE r END AS word, n
+            FROM marked),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT DISTINCT word, p, substr(word, 1, CAST(p AS INTEGER) - 1) || substr(word, CAST(p AS INTEGER) + 1) AS rest
+         FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (SELECT a.word AS word, b.word AS near FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+          UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.rest
+          UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.rest),
+best AS (SELECT pairs.word AS word, count(*) AS n_near, arg_min(near, (-x.n, near)) AS form, max(x.n) AS form_n
+         FROM pairs JOIN words x ON x.word = near GROUP BY pairs.word),
+formed AS (SELECT w.word AS word, w.n AS n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form,
+           CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+led AS (SELECT word, word AS at FROM formed UNION ALL SELECT led.word, f.form FROM led JOIN formed f ON f.word = led.at WHERE f.form IS NOT NULL)
+SELECT word, formed.form AS form, led.at AS root, formed.n AS n, formed.n_near AS n_near, formed.form_n AS form_n
+FROM formed JOIN led USING (word) JOIN formed f ON f.word = led.at AND f.form IS NULL""")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"), least_points=5, least_n=3, one_in=97)
