@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import (decontaminate, language, line_crf, mixing, near_dedup, quality_rules, sharding, spelling, substring,
+from stayflow.llm import (decontaminate, language, line_crf, mixing, near_dedup, pii, prefix_trie, quality_rules, sharding, spelling, substring,
                           url_filter, wavelet)
 from stayflow.session import work_dir
 from stayflow.llm.texts import id_remainder
@@ -265,3 +265,36 @@ SELECT word, formed.form AS form, led.at AS root, formed.n AS n, formed.n_near A
 FROM formed JOIN led USING (word) JOIN formed f ON f.word = led.at AND f.form IS NULL""")
 def op11_spelling_variants(spark, sf_dir):
     return spelling.group_variants(table(spark, sf_dir, "documents"), least_points=5, least_n=3, one_in=97)
+
+
+@query(rf"""WITH RECURSIVE crc AS (SELECT {CRC_SQL} AS t),
+turns AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, length(coalesce(text, '')) AS points, turn
+          FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, h, points, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) AS p FROM turns),
+sizes AS (SELECT conv_id, count(*) AS k FROM own GROUP BY conv_id),
+skips AS (SELECT conv_id AS c, conv_id - conv_id % 100 AS b, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM sizes, crc),
+rebuilt AS (SELECT c, p AS pos, own.h, points FROM skips JOIN own ON conv_id = b AND p <= skips.h
+  UNION ALL SELECT c, p - skips.h + least(skips.h, coalesce(k, 0)), own.h, points
+  FROM skips JOIN own ON own.conv_id = c AND p > skips.h LEFT JOIN sizes ON sizes.conv_id = b),
+seqs AS (SELECT c, coalesce(list(h ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s, list(points ORDER BY pos) FILTER (pos IS NOT NULL) AS points
+         FROM (SELECT DISTINCT c FROM skips) LEFT JOIN rebuilt USING (c) GROUP BY c),
+members AS (SELECT c, s, points, unnest(range(0, len(s) + 1)) AS d FROM seqs),
+nodes AS (SELECT d, array_to_string(s[1:d], '') AS name, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(points[d]), 0) AS points,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = d), '')) AS ends_sha256
+          FROM members GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, left(name, 32 * (d - 1)) AS name, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+weights AS (SELECT nodes.d AS d, nodes.name AS name, (n_convs - 1) * points AS w, CAST(kids.n IS NULL AS BIGINT) AS leaf
+            FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.name = nodes.name),
+above AS (SELECT name, w, leaf, unnest(range(0, d + 1)) AS k FROM weights),
+sums AS (SELECT k AS d, left(name, 32 * k) AS name, sum(w) AS saved, sum(leaf) AS leaves FROM above GROUP BY 1, 2)
+SELECT n.conv_id AS conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs AS n_convs, coalesce(kids.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256 AS ends_sha256
+FROM nodes n JOIN sums ON sums.d = n.d AND sums.name = n.name LEFT JOIN kids ON kids.d = n.d AND kids.name = n.name
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.name = left(n.name, 32 * (n.d - 1))""")
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.build(table(spark, sf_dir, "conversations"), heads=6, group=100)
+
+
+@query()
+def op12_personal_data(spark, sf_dir):
+    return pii.find_personal(table(spark, sf_dir, "documents"))
