@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayflow import fixed_values as V
 from stayflow.functions.messages import cast_booking, read_booking
 from stayflow.operators.writes import update_where_key
+from stayflow.streaming.bucketed import BucketedTable
 
 # Columns that a booking message may set.
 EVENT_COLUMNS = [
@@ -20,60 +21,88 @@ EVENT_COLUMNS = [
 RECORD_SCHEMA = (
     "event string, event_id string, booking_id string, property_id long, guest_name string, email string, "
     "guest_email string, phone string, guests int, check_in date, check_out date, nights int, "
-    "total_price decimal(10,2), description string, timestamp string, rejected string"
+    "total_price decimal(10,2), description string, timestamp string, rejected string, sent timestamp"
 )
 
+# What the last message that carries it sets: all fields but the key, the time and the reasons of a rejection.
+STATE_FIELDS = {
+    name: kind for name, kind in (column.split(" ", 1) for column in RECORD_SCHEMA.split(", "))
+    if name not in ("booking_id", "timestamp", "rejected", "sent")
+}
 
-def _order() -> Column:
-    """Later messages are greater; messages that agree on all of this are equal."""
-    return F.struct(*(F.col(c) for c in ["timestamp", "total_price", *EVENT_COLUMNS]))
+# A field with the time of its message; `tie` orders messages of the same time.
+STATE_SCHEMA = "booking_id string, created timestamp, " + ", ".join(
+    f"{name} struct<sent: timestamp, tie: binary, value: {kind}>" for name, kind in STATE_FIELDS.items())
 
 
-def merge_messages(good: DataFrame) -> DataFrame:
-    """One row per booking: the last value that any message carries for each field, and the first message's time.
+def _tie() -> Column:
+    """Eight bytes of a digest of what a message sets: messages of one time that agree on it are equal."""
+    told = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EVENT_COLUMNS))
+    return F.unhex(F.substring(F.md5(told), 1, 16))
 
-    Messages are combined before the shuffle. Defaults are for fields that no message carries.
+
+def to_state(good: DataFrame) -> DataFrame:
+    """Accepted messages as rows of the state, one per message."""
+    dated = good.withColumn("_tie", _tie())
+    fields = [
+        F.when(F.col(c).isNotNull(), F.struct("sent", F.col("_tie").alias("tie"), F.col(c).alias("value"))).alias(c) for c in STATE_FIELDS
+    ]
+    return dated.select("booking_id", F.col("sent").alias("created"), *fields)
+
+
+def merge_state(rows: DataFrame) -> DataFrame:
+    """One row per booking: of each field the last value that any message carries, and the first message's time.
+
+    Rows are combined before the shuffle, and it does not matter in which order or how often they are merged.
     """
-    fields = [c for c in good.columns if c not in ("booking_id", "timestamp")]
-    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), _order())).alias(c) for c in fields]
-    merged = good.groupBy("booking_id").agg(*latest, F.min("timestamp").alias("timestamp"))
-    return merged.withColumn("guests", F.coalesce("guests", F.lit(V.DEFAULT_GUESTS)))
+    return rows.groupBy("booking_id").agg(F.min("created").alias("created"), *(F.max(c).alias(c) for c in STATE_FIELDS))
 
 
-def enrich(good: DataFrame) -> DataFrame:
-    """Constant columns of a saved booking; it was created when its message says, or now."""
-    sent = F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp())
-    return good.withColumns(
-        {"status": F.lit(V.STATUS_CONFIRMED), "pipeline": F.lit(V.PIPELINE_LABEL), "created_at": sent.cast("timestamp_ntz")}
-    )
+def state_table(spark: SparkSession, path: str, **how) -> BucketedTable:
+    """The bookings of a folder as a table that batches are merged into."""
+    return BucketedTable(spark, f"{path}/bookings", "booking_id", STATE_SCHEMA, merge_state, **how)
+
+
+def enrich(state: DataFrame) -> DataFrame:
+    """The bookings of merged state rows, with the constant columns of a saved booking; defaults are for what no message carries."""
+    values = {c: F.col(f"{c}.value") for c in STATE_FIELDS}
+    rows = state.select("booking_id", F.col("created").cast("timestamp_ntz").alias("created_at"), *(v.alias(c) for c, v in values.items()))
+    return rows.withColumns({
+        "guests": F.coalesce("guests", F.lit(V.DEFAULT_GUESTS)), "status": F.lit(V.STATUS_CONFIRMED), "pipeline": F.lit(V.PIPELINE_LABEL),
+    })
 
 
-def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: decode a batch once and write accepted and rejected records apart.
+def ingest_batch(path: str, source: str = "messages", **how) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: decode a batch once, write accepted and rejected records apart, merge the accepted into the bookings.
 
-    A batch is written without a shuffle into its own folder, which a replay replaces, so its cost follows
-    the batch and not the table. A number of guests that a message does not carry is stored as NULL, so that it
-    overwrites nothing when `booking_table` merges the messages.
+    The records of a batch have a folder of their own, which a replay replaces; the merge reads that folder and nothing older.
+    A message is stamped with its time here, or with now if it has none that can be read, so that its time never changes
+    later. A number of guests that a message does not carry is stored as NULL, so that it overwrites nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, folder = batch.sparkSession, f"{path}/records/batch={batch_id}"
+        bookings = state_table(spark, path, **how)
         raw = read_booking(batch).withColumn("guests_sent", F.col("guests").isNotNull())
-        cast = cast_booking(raw).withColumns(
-            {"accepted": F.col("rejected") == "", "guests": F.when(F.col("guests_sent"), F.col("guests"))})
-        cast.drop("guests_sent").write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
+        cast = cast_booking(raw).withColumns({
+            "accepted": F.col("rejected") == "", "guests": F.when(F.col("guests_sent"), F.col("guests")),
+            "sent": F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp()),
+        })
+        cast.drop("guests_sent").write.mode("overwrite").partitionBy("accepted").parquet(folder)
+        fresh = spark.read.schema(f"{RECORD_SCHEMA}, accepted boolean").parquet(folder).where("accepted")
+        bookings.append(to_state(fresh), source, batch_id)
 
     return write
 
 
 def ingested(spark: SparkSession, path: str) -> DataFrame:
     """All decoded records; filters on `accepted` skip the other folder."""
-    return spark.read.schema(f"{RECORD_SCHEMA}, batch long, accepted boolean").parquet(path)
+    return spark.read.schema(f"{RECORD_SCHEMA}, batch long, accepted boolean").parquet(f"{path}/records")
 
 
-def booking_table(spark: SparkSession, path: str) -> DataFrame:
-    """The bookings after all accepted messages."""
-    good = ingested(spark, path).filter("accepted").drop("batch", "accepted", "rejected")
-    return enrich(merge_messages(good))
+def booking_table(spark: SparkSession, path: str, **how) -> DataFrame:
+    """The bookings after all accepted messages, from the merged table; no message is read again."""
+    return enrich(state_table(spark, path, **how).table())
 
 
 def rejected_messages(spark: SparkSession, path: str) -> DataFrame:

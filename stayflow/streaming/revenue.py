@@ -25,6 +25,11 @@ def window_totals(decoded: DataFrame, width: str = V.WINDOW) -> DataFrame:
         F.sum(decimal_value()).alias("total"),
         F.count("booking_value").alias("valued"),
     )
+    return _told(totals)
+
+
+def _told(totals: DataFrame) -> DataFrame:
+    """Sums per window and property as they are reported."""
     revenue = F.col("total").cast("double")
     return totals.select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
@@ -51,6 +56,28 @@ def newest_windows(updates: DataFrame) -> DataFrame:
     return last.drop("batch")
 
 
+def _marks(cells: DataFrame, delivery: str, watermark: str) -> DataFrame:
+    """Per delivery the watermark that earlier ones left, NULL for the first; deliveries are put in order, not rows."""
+    earlier = Window.orderBy(delivery).rowsBetween(Window.unboundedPreceding, -1)
+    newest = cells.groupBy(delivery).agg(F.max("_newest").alias("_newest"))
+    return newest.select(delivery, (F.max("_newest").over(earlier) - F.expr(f"INTERVAL {watermark}")).alias("_mark"))
+
+
+def totals_without_late(decoded: DataFrame, delivery: str, width: str = V.WINDOW, watermark: str = V.WATERMARK) -> DataFrame:
+    """What `window_totals` over a stream comes to when rows arrive in deliveries, each one batch: windows without the rows that
+    come after the watermark of the deliveries before has passed the window's end.
+
+    Rows are summed up by delivery, window and property before marks are joined; a sum is late or in time as a whole.
+    """
+    cells = decoded.groupBy(delivery, F.window("event_time", width).alias("w"), "property_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(decimal_value()).alias("total"), F.count("booking_value").alias("valued"),
+        F.max("event_time").alias("_newest"))
+    in_time = lookup_join(cells, _marks(cells, delivery, watermark), [delivery], "left").where(
+        F.col("_mark").isNull() | (F.col("w.end") > F.col("_mark")))
+    return _told(in_time.groupBy("w", "property_id").agg(
+        F.sum("n").alias("booking_count"), F.sum("total").alias("total"), F.sum("valued").alias("valued")))
+
+
 def late_rows(rows: DataFrame, delivery: str, ts: str, width: str = V.WINDOW, watermark: str = V.WATERMARK) -> DataFrame:
     """Per delivery, its rows and those whose window had closed: it ended at or before the watermark that earlier
     deliveries left. Rows are summed up by delivery and window before anything is joined; a row without a time is
@@ -60,9 +87,7 @@ def late_rows(rows: DataFrame, delivery: str, ts: str, width: str = V.WINDOW, wa
     cells = rows.withColumn("_slot", end).groupBy(delivery, F.when(F.col(ts).isNotNull(), F.col("_slot")).alias("_end")).agg(
         F.count(F.lit(1)).alias("_rows"), F.max(ts).alias("_newest")
     )
-    earlier = Window.orderBy(delivery).rowsBetween(Window.unboundedPreceding, -1)
-    newest = cells.groupBy(delivery).agg(F.max("_newest").alias("_newest"))
-    marks = newest.select(delivery, (F.max("_newest").over(earlier) - F.expr(f"INTERVAL {watermark}")).alias("_mark"))
+    marks = _marks(cells, delivery, watermark)
     late = F.when(F.col("_end") <= F.col("_mark"), F.col("_rows")).otherwise(0)
     return lookup_join(cells.drop("_newest"), marks, [delivery], "left").groupBy(delivery).agg(
         F.sum("_rows").alias("input_rows"), F.sum(late).alias("dropped")

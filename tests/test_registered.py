@@ -5,7 +5,6 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
-from stayflow.plans import streams
 from stayflow.plans.catalog import ORACLE, QUERIES
 from tests.compare import connect, difference
 
@@ -32,11 +31,6 @@ def test_late_rows_are_reported(spark):
     assert sum(r.input_rows for r in report) == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
-def test_the_stream_drops_late_partial_results(spark):
-    *_, reports = streams._run_weekly(spark, SF, "late-progress")
-    assert sum(s["numRowsDroppedByWatermark"] for r in reports for s in r["stateOperators"]) > 0
-
-
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 

@@ -145,11 +145,46 @@ def test_first_per_ttl_against_brute_force(spark, hours, seed):
     assert sorted((r.k, r.ts) for r in kept.collect()) == brute_force(data, dt.timedelta(hours=hours))
 
 
+def test_rows_without_a_time_or_a_key(spark):
+    day = dt.datetime(2024, 1, 1)
+    data = [(None, day, 1), (None, day + dt.timedelta(hours=23), 2), (None, day + dt.timedelta(hours=24), 3), (None, None, 4), ("a", None, 5),
+            ("a", None, 5), ("a", day, 7), ("a", day, 6), ("a", dt.datetime(1969, 12, 31, 1), 8)]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, i long")
+    kept = dedup.first_per_ttl(df, ["k"], "ts", "i")
+    assert sorted(r.i for r in kept.collect()) == [1, 3, 4, 5, 5, 6, 8]
+
+
+def test_first_per_ttl_over_long_runs(spark):
+    base = dt.datetime(2024, 1, 1)
+    data = [("hot", base + dt.timedelta(minutes=7 * i), i) for i in range(9000)] + [("b", base + dt.timedelta(hours=24 * i), i) for i in range(40)]
+    data += [("c", base + dt.timedelta(hours=24 * i, microseconds=-i), i) for i in range(40)]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, i long")
+    kept = dedup.first_per_ttl(df, ["k"], "ts", "i")
+    assert sorted((r.k, r.ts) for r in kept.collect()) == brute_force(data, dt.timedelta(hours=24))
+
+
 def test_first_per_ttl_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, ts timestamp_ntz, i long")
     assert dedup.first_per_ttl(empty, ["k"], "ts", "i").count() == 0
 
 
+def test_totals_without_late_rows_are_those_of_the_stream(spark, tmp_path):
+    root, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    deliveries = [[("10:00:00", 1, 1.0), ("10:03:00", 1, 4.0)], [("11:00:00", 1, 1.0), ("09:50:00", 2, 3.0)],
+                  [("10:48:00", 1, 9.0), ("10:51:00", 1, 2.0), ("10:01:00", 1, 7.0)], [("12:00:00", 2, 5.0)]]
+    for part in deliveries:
+        put(spark, root, marketing(*part))
+        totals = revenue.revenue_stream(streams.file_topics(spark, root, [V.TOPIC_MARKETING]))
+        run(totals, batch_files(out), checkpoint, "update")
+    streamed = revenue.newest_windows(batches(spark, out, totals.schema))
+    given = [(n, *r) for n, part in enumerate(deliveries) for r in part]
+    rows_of = spark.createDataFrame(given, "delivered int, t string, property_id int, booking_value double").withColumn(
+        "event_time", F.concat(F.lit("2024-01-01 "), "t").cast("timestamp"))
+    batch = revenue.totals_without_late(rows_of, "delivered")
+    assert batch.columns == streamed.columns
+    assert rows(batch, *batch.columns[:3]) == rows(streamed, *batch.columns[:3])
+
+
 def test_stream_dedup_drops_repeats_in_later_batches(spark, tmp_path):
     root, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
     for part in [marketing(("10:00:00", 1, 1.0)), marketing(("10:05:00", 1, 1.0), ("10:06:00", 2, 1.0))]:
