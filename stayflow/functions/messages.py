@@ -109,8 +109,8 @@ def marketing_payload(sent_at: Column) -> Column:
     )
 
 
-def fan_out(bookings: DataFrame, sent_at: str = "created_at") -> DataFrame:
-    """Three messages per booking, built in one pass over the bookings.
+def fan_out(bookings: DataFrame, sent_at: str = "created_at", keep: list[str] | None = None) -> DataFrame:
+    """Three messages per booking, built in one pass over the bookings, with the columns to keep.
 
     Booking and invoice messages are keyed by booking, marketing messages by property.
     """
@@ -124,7 +124,7 @@ def fan_out(bookings: DataFrame, sent_at: str = "created_at") -> DataFrame:
         message(V.TOPIC_INVOICES, F.col("id"), invoice_payload()),
         message(V.TOPIC_MARKETING, F.col("property_id"), marketing_payload(sent)),
     )
-    return bookings.select(F.inline(three))
+    return bookings.select(*(keep or []), F.inline(three))
 
 
 def fill(template: str, *values: Column) -> Column:

@@ -55,7 +55,7 @@ def merge_state(rows: DataFrame) -> DataFrame:
 
     Rows are combined before the shuffle, and it does not matter in which order or how often they are merged.
     """
-    return rows.groupBy("booking_id").agg(F.min("created").alias("created"), *(F.max(c).alias(c) for c in STATE_FIELDS))
+    return rows.groupBy("booking_id").agg(F.min("created").alias("created"), *(F.max(c).alias(c) for c in rows.columns if c not in ("booking_id", "created")))
 
 
 def state_table(spark: SparkSession, path: str, **how) -> BucketedTable:
