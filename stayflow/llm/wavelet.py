@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stayflow.llm.texts import slices, split_words
+from stayflow.llm.texts import _LOWER, Words, slices, split_words
 
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 600_000
-JOINED_WORDS = 64
+#: Units whose ids a process remembers: some 30 MB.
+CACHE_UNITS = 800_000
+JOINED_UNITS = 64
+#: A character that is one token of its own, put between units.
+MARK = "\x01"
 SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_tokens long, file binary"
 
+#: 1 ASCII letters, 2 other visible ASCII characters, 3 ASCII digits, 0 all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+_KIND[ord("0"):ord("9") + 1] = 3
+
 
 def _pack(array: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
@@ -179,7 +187,26 @@ class Shard:
         return cls(ids, starts, WaveletMatrix(n, zeros, list(zip(parts[3::2], parts[4::2]))))
 
 
-_LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+class Known:
+    """Ids of units of text, found by their 64-bit hash: one sorted array, so that only new units reach Python."""
+
+    def __init__(self):
+        self.hashes, self.begins, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def absent(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        begins = np.cumsum(lengths) - lengths + len(self.flat)
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes, self.begins, self.lengths = (
+            np.concatenate(both)[order] for both in ((self.hashes, hashes), (self.begins, begins), (self.lengths, lengths)))
+        self.flat = np.concatenate([self.flat, flat])
+
+
+_LOADED: dict[str, tuple[object, Known]] = {}
 
 
 def _loaded(path: str):
@@ -187,52 +214,82 @@ def _loaded(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path), {}
+        _LOADED[path] = Tokenizer.from_file(path), Known()
     return _LOADED[path]
 
 
-def _encode_words(tokenizer, words: list[str]) -> list[bytes]:
-    """The ids of each word, from short texts of several words: a token belongs to the word that it starts in."""
-    groups = [words[at:at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
-    out = []
-    for group, found in zip(groups, tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-        begins = list(accumulate((len(w) + 1 for w in group), initial=0))
-        raw, cuts = np.array(found.ids, np.uint32).tobytes(), [0]
-        offsets = found.offsets
-        at = 0
-        for begin in begins[1:]:
-            while at < len(offsets) and offsets[at][0] < begin:
-                at += 1
-            cuts.append(4 * at)
-        out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-    return out
+def _encode_units(tokenizer, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units in one array, and how many each has: texts of several units, told apart by a mark between them."""
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    if len(mark) != 1 or any(MARK in u for u in units):
+        found = [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+    texts = [f" {MARK} ".join(units[at:at + JOINED_UNITS]) + f" {MARK}" for at in range(0, len(units), JOINED_UNITS)]
+    found = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    ends = np.flatnonzero(flat == mark[0])
+    return flat[flat != mark[0]], np.diff(ends, prepend=-1) - 1
+
+
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words, cut further where the tokenizer cuts them for sure, and the first unit of each text.
+
+    That is between an ASCII letter and an ASCII mark (but not between an apostrophe and a letter, which may be a contraction) and around
+    ASCII digits. Capitals that no byte of another character follows are lower-cased, as the tokenizer does. Words with
+    the opening of a special token stay as they are.
+    """
+    words = split_words(data, offsets)
+    if not len(words.starts):
+        return words, words.first
+    special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if len(data) > 1 else np.zeros(0, np.int64)
+    whole = np.zeros(len(data) + 1, np.int8)
+    odd = np.unique(np.searchsorted(words.starts, special, side="right") - 1)
+    odd = odd[odd >= 0]
+    whole[words.starts[odd]] += 1
+    whole[words.ends[odd]] -= 1
+    free = np.cumsum(whole[:-1], dtype=np.int8) == 0
+    after = np.append(data[1:], np.uint8(0))
+    lowered = np.where(free & (after < 128), _LOWER[data], data)
+    kind = _KIND[data]
+    a, b = kind[:-1], kind[1:]
+    cut = (a != b) & (((a == 1) & (b == 2)) | ((a == 2) & (b == 1) & (data[:-1] != ord("'"))))
+    cut |= (a == 3) | (b == 3)
+    cut &= free[:-1] & (a > 0) & (b > 0)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    cut &= ~edge[1:-1]
+    inner = np.flatnonzero(cut) + 1
+    starts, ends = np.sort(np.concatenate([words.starts, inner])), np.sort(np.concatenate([words.ends, inner]))
+    return Words(lowered, starts, ends, np.searchsorted(starts, offsets)), np.searchsorted(starts, offsets)
 
 
 def encode(path: str, data: np.ndarray, offsets: np.ndarray, by_word: bool) -> list[np.ndarray]:
     """Ids of the UTF-8 texts data[offsets[i]:offsets[i + 1]].
 
-    by_word: the tokenizer drops white space, so each word can be encoded by itself, and once for all the places
-    where the texts have it (found by 64-bit hash within the texts given).
+    by_word: the tokenizer lower-cases, drops white space and encodes words and marks apart, so that each of these units can be
+    encoded by itself, and once for all the places where the texts have it (found by 64-bit hash).
     """
-    tokenizer, cache = _loaded(path)
-    raw = data.tobytes()
+    tokenizer, known = _loaded(path)
     if not by_word:
+        raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    words = split_words(data, offsets)
-    _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    kinds = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = [w for w in kinds if w not in cache]
-    cache.update(zip(new, _encode_words(tokenizer, [w.decode() for w in new])))
-    values = [cache[w] for w in kinds]
-    lengths = np.array([len(v) // 4 for v in values], np.int64)
-    flat, begins = np.frombuffer(b"".join(values), np.uint32), np.cumsum(lengths) - lengths
+    units, first_of = _units(data, offsets)
+    kinds, first, which = np.unique(units.hashes(), return_index=True, return_inverse=True)
+    new = known.absent(kinds)
+    if len(known.hashes) + int(new.sum()) > CACHE_UNITS:  # it starts anew
+        new = np.ones(len(kinds), bool)
+        known.__init__()
+    raw = units.data.tobytes()
+    fresh = [raw[a:b].decode() for a, b in zip(units.starts[first[new]].tolist(), units.ends[first[new]].tolist())]
+    if fresh:
+        known.add(kinds[new], *_encode_units(tokenizer, fresh))
+    at = np.searchsorted(known.hashes, kinds)
+    begins, lengths = known.begins[at], known.lengths[at]
     each = lengths[which]
     ends = np.concatenate([[0], np.cumsum(each)])
-    ids = flat[np.repeat(begins[which] - ends[:-1], each) + np.arange(ends[-1])]
-    cuts = ends[words.first]
+    ids = known.flat[np.repeat(begins[which] - ends[:-1], each) + np.arange(ends[-1])]
+    cuts = ends[first_of]
     return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
