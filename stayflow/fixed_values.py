@@ -63,7 +63,6 @@ SEED_PROPERTIES = [
 
 # Offset metric in the metrics text.
 OFFSET_METRIC = "kafka_topic_partition_current_offset"
-OFFSET_METRIC = "kafka_topic_partition_current_offset"
 
 # Date text of a certificate's end of validity, and the texts of its metrics.
 NOT_AFTER_FORMAT = "MMM d HH:mm:ss yyyy 'GMT'"

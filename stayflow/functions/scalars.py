@@ -66,3 +66,12 @@ def reasons(rules: dict[str, Column]) -> Column:
 
 def valid_email(c: Column) -> Column:
     return c.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
+
+
+def request_reasons() -> Column:
+    """The broken rules of a request with commas between, empty when it can be taken."""
+    return reasons({
+        "id": F.col("id") != "", "property_id": F.col("property_id").isNotNull(), "guest_name": F.trim("guest_name") != "",
+        "email": valid_email(F.col("email")), "guests": F.coalesce("guests", F.lit(1)) > 0, "check_in": F.col("check_in").isNotNull(),
+        "check_out": F.col("check_out") > F.col("check_in"), "total_price": F.col("total_price") >= 0,
+    })

@@ -23,11 +23,12 @@ def main() -> None:
     parser.add_argument("--jdbc-url", help="append the raw events to a database; the password is read from JDBC_PASSWORD")
     parser.add_argument("--jdbc-table", default="marketing_events")
     parser.add_argument("--jdbc-user", default="")
+    parser.add_argument("--max-messages", default="10000000", help="messages per batch")
     parser.add_argument("--console", action="store_true", help="print the changed windows instead of writing them")
     args = parser.parse_args()
 
     spark = build_session("marketing-stream")
-    messages = kafka_topics(spark, args.servers, [V.TOPIC_MARKETING], starting="latest")
+    messages = kafka_topics(spark, args.servers, [V.TOPIC_MARKETING], starting="latest", maxOffsetsPerTrigger=args.max_messages)
     revenue = revenue_stream(messages).writeStream.outputMode("update")
     sink = revenue.format("console") if args.console else revenue.foreachBatch(batch_files(f"{args.out}/revenue"))
     start(sink, "marketing-revenue", f"{args.out}/checkpoints/revenue", trigger=V.TRIGGER)

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayflow import fixed_values as V
 from stayflow.functions.messages import fill
@@ -88,6 +89,29 @@ def summarize_runs(true_steps: DataFrame, keys: list[str], run: str, hold: Colum
     )
 
 
+def step_values(rules: list[Rule]) -> list[Column]:
+    """Aggregates of a series' step: for rule i whether its condition held throughout, and times and last value of its samples."""
+    reductions = []
+    for i, rule in enumerate(rules):
+        own = F.expr(rule.matcher)
+        seen_at = F.when(own, F.col("ts"))
+        reductions += [
+            F.bool_and(F.when(own, F.expr(rule.condition))).alias(f"_ok{i}"),
+            F.min(seen_at).alias(f"_first{i}"), F.max(seen_at).alias(f"_last{i}"),
+            F.max_by("value", seen_at).alias(f"_value{i}"),
+        ]
+    return reductions
+
+
+def summary_text(rules: list[Rule]) -> Column:
+    """The text of a run (alertname, series, last_value)."""
+    text = F.lit(None).cast("string")
+    for rule in rules:
+        args = [F.col("series"), F.col("last_value")][: rule.summary.count("%s")]
+        text = F.when(F.col("alertname") == rule.name, fill(rule.summary, *args)).otherwise(text)
+    return text
+
+
 def evaluate(
     samples: DataFrame, rules: list[Rule], series: Column, step: str = "1 minute", max_gap: str = V.STALENESS
 ) -> DataFrame:
@@ -100,16 +124,7 @@ def evaluate(
     samples without a value are left out.
     """
     keyed = samples.filter("value IS NOT NULL").withColumns({"series": series, "step": step_start("ts", step)})
-    reductions = []
-    for i, rule in enumerate(rules):
-        own = F.expr(rule.matcher)
-        seen_at = F.when(own, F.col("ts"))
-        reductions += [
-            F.bool_and(F.when(own, F.expr(rule.condition))).alias(f"_ok{i}"),
-            F.min(seen_at).alias(f"_first{i}"), F.max(seen_at).alias(f"_last{i}"),
-            F.max_by("value", seen_at).alias(f"_value{i}"),
-        ]
-    reduced = keyed.groupBy("series", "step").agg(*reductions)
+    reduced = keyed.groupBy("series", "step").agg(*step_values(rules))
     numbered = number_runs(reduced, ["series"], [str(i) for i in range(len(rules))], max_gap)
     per_rule = F.array(
         *[
@@ -123,11 +138,7 @@ def evaluate(
     )
     true_steps = numbered.select("series", "step", F.inline(per_rule)).filter("ok")
     runs = summarize_runs(true_steps, ["alertname", "severity", "series", "hold_seconds"], "run", F.col("hold_seconds"))
-    text = F.lit(None).cast("string")
-    for rule in rules:
-        args = [F.col("series"), F.col("last_value")][: rule.summary.count("%s")]
-        text = F.when(F.col("alertname") == rule.name, fill(rule.summary, *args)).otherwise(text)
-    return runs.withColumn("summary", text).drop("hold_seconds")
+    return runs.withColumn("summary", summary_text(rules)).drop("hold_seconds")
 
 
 def firing(
@@ -226,8 +237,9 @@ def counter_rate(
 ) -> DataFrame:
     """Increase per second of a counter in each window; a drop is a restart from zero.
 
-    Samples are ordered within cells of a window, so a busy series is many small groups. Of a cell only the first
-    and last value and the increase between them go on, and those are ordered by window.
+    Samples are grouped by cells of a window, so a busy series is many small groups, and a cell's samples are put in order
+    where they are grouped. Of a cell only the first and last value and the increase between them go on, and those are
+    ordered by window. Shorter cells make smaller groups.
     """
     if width_seconds % cell_seconds:
         raise ValueError("a window is a whole number of cells")
@@ -236,12 +248,13 @@ def counter_rate(
         return F.when(before.isNull(), 0).when(now < before, now).otherwise(now - before)
 
     celled = samples.withColumn("_cell", F.window(ts, f"{cell_seconds} seconds")["start"])
-    inside = Window.partitionBy(*keys, "_cell").orderBy(ts, tie)
-    celled = celled.withColumn("_step", rise(F.col(value), F.lag(value).over(inside)))
-    place = F.struct(ts, tie)
-    cells = celled.groupBy(*keys, "_cell").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_step").alias("_rise"),
-        F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last"),
+    inside = celled.groupBy(*keys, "_cell").agg(F.sort_array(F.collect_list(F.struct(ts, tie, value))).alias("_all"))
+    n = F.size("_all")
+    steps = F.zip_with(F.slice("_all", 1, n - 1), F.slice("_all", F.lit(2), n - 1), lambda a, b: rise(b[value], a[value]))
+    kind = "decimal(38,2)" if isinstance(samples.schema[value].dataType, T.DecimalType) else "double"
+    cells = inside.select(
+        *keys, "_cell", n.alias("_n"), F.aggregate(steps, F.lit(0).cast(kind), lambda total, step: (total + step).cast(kind)).alias("_rise"),
+        F.col("_all")[0][value].alias("_first"), F.element_at("_all", -1)[value].alias("_last"),
     ).withColumn("window_start", F.window("_cell", f"{width_seconds} seconds")["start"])
     across = Window.partitionBy(*keys, "window_start").orderBy("_cell")
     joined = cells.withColumn("_between", rise(F.col("_first"), F.lag("_last").over(across)))

@@ -16,21 +16,29 @@ def _limit_bytes(spark) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark would broadcast this side by itself. A client without a JVM of its own cannot ask: then not."""
+    if not hasattr(df, "_jdf"):
+        return False
     return estimated_bytes(df) <= _limit_bytes(df.sparkSession)
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", hot_rows: int = 10_000_000) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", hot_rows: int = 10_000_000,
+                keys: DataFrame | None = None) -> DataFrame:
     """Join facts to a lookup whose `on` columns are unique.
 
     A lookup below spark.sql.autoBroadcastJoinThreshold needs no shuffle and has no skew: Spark broadcasts
     it by itself. A larger one is joined by shuffle, with the rows of hot keys spread over many partitions.
+
+    keys: the `on` columns of the table that the facts are made from, so that hot keys are counted by a scan of these
+    columns and not by computing the facts twice. Counts that are too high only spread a key more.
     """
     if fits_broadcast(lookup):
         return facts.join(lookup, on, how)
-    return salted_join(facts, lookup, on, how, hot_rows)
+    return salted_join(facts, lookup, on, how, hot_rows, keys)
 
 
-def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", hot_rows: int = 10_000_000) -> DataFrame:
+def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", hot_rows: int = 10_000_000,
+                keys: DataFrame | None = None) -> DataFrame:
     """Shuffle join that gives every key one partition per `hot_rows` of its rows.
 
     The lookup row of a hot key is repeated once per partition. Finding the hot keys reads only the key
@@ -39,7 +47,7 @@ def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "
     # At most (fact rows / hot_rows) keys are hot: 100,000 narrow rows for 10^12 facts. That bound is what
     # allows the broadcast.
     hot = (
-        facts.groupBy(*on)
+        (facts if keys is None else keys).groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
         .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,19 +93,24 @@ def keep_recent(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return df.filter(F.col(ts) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
+def kept_days(df: DataFrame, ts: str, now: dt.datetime, days: int, day: str = "dt") -> DataFrame:
+    """The rows of the last `days` days before `now` from a table with a folder per day (ISO text in the column `day`).
+
+    Older folders are left out by their name, and younger ones are taken as they are: only the border day's rows are
+    compared by their time. A row lies in the folder of its own day.
+    """
+    cut = now - dt.timedelta(days=days)
+    border = cut.date().isoformat()
+    return df.where((F.col(day) > border) | ((F.col(day) == border) & (F.col(ts) >= F.lit(str(cut)).cast(df.schema[ts].dataType))))
+
+
+def expired_days(df: DataFrame, now: dt.datetime, days: int, day: str = "dt") -> list[str]:
+    """The days whose folders may be removed, from the folders' names; no row is read."""
+    border = (now - dt.timedelta(days=days)).date().isoformat()
+    return sorted(r[0] for r in df.select(day).where(F.col(day) < border).distinct().collect())
+
+
 def write_daily(rows: DataFrame, path: str, day: str = "dt") -> None:
     """Append to a folder per day. Rows are brought together by day first, with large days split and small
     ones merged, so that a day gets few files and no single task."""
     rows.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(path)
-
-
-def merge_into(spark, table: str, changes: DataFrame, key: str, columns: list[str]) -> None:
-    """Upsert for table formats with MERGE (needs a catalog that supports it)."""
-    changes.createOrReplaceTempView("_stayflow_changes")
-    sets = ", ".join(f"t.{c} = coalesce(s.{c}, t.{c})" for c in columns)
-    names = ", ".join([key, *columns])
-    values = ", ".join(f"s.{c}" for c in [key, *columns])
-    spark.sql(
-        f"MERGE INTO {table} t USING _stayflow_changes s ON t.{key} = s.{key} "
-        f"WHEN MATCHED THEN UPDATE SET {sets} WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})"
-    )

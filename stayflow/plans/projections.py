@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stayflow import fixed_values as V
 from stayflow.functions import scalars as X
 from stayflow.operators import calendars
+from stayflow.functions.scalars import request_reasons
 from stayflow.operators.joins import lookup_join
 from stayflow.plans.catalog import BOOKINGS, STAYS, query
 from stayflow.sources import views
@@ -97,6 +98,29 @@ def validate_rows(spark, sf_dir):
     return users.select("c_custkey", checked.alias("reasons"), (checked == "").alias("valid"))
 
 
+@query(f"""WITH {STAYS}, r AS (
+  SELECT id, l_orderkey, l_shipdate, property_id, CASE WHEN l_tax > 0.01 THEN check_in END AS d_in,
+         CASE WHEN l_linenumber = 6 THEN check_in WHEN l_tax > 0 THEN check_out END AS d_out,
+         CASE WHEN l_discount = 0 THEN -total_price WHEN l_discount < 0.1 THEN total_price END AS price,
+         CASE WHEN l_returnflag = 'R' THEN 'nobody' ELSE 'guest' || l_suppkey || '@example.com' END AS email,
+         CASE WHEN l_quantity < 40 THEN CAST(l_quantity AS INTEGER) - 3 END AS guests FROM stays)
+SELECT id, l_shipdate, concat_ws(',', CASE WHEN NOT coalesce(email <> 'nobody', false) THEN 'email' END,
+         CASE WHEN coalesce(guests, 1) <= 0 THEN 'guests' END, CASE WHEN d_in IS NULL THEN 'check_in' END,
+         CASE WHEN NOT coalesce(d_out > d_in, false) THEN 'check_out' END, CASE WHEN NOT coalesce(price >= 0, false) THEN 'total_price' END) AS reasons
+FROM r""")
+def validate_requests(spark, sf_dir):
+    """Rules on dates, price and address of a booking request, and the number of guests that may be absent."""
+    stays = views.with_stay_columns(table(spark, sf_dir, "lineitem"))
+    tax, discount = F.col("l_tax"), F.col("l_discount")
+    asked = stays.select(
+        "id", "l_shipdate", "property_id", F.lit("Guest").alias("guest_name"),
+        F.when(F.col("l_returnflag") == "R", "nobody").otherwise(views.guest_email(F.col("l_suppkey"))).alias("email"),
+        F.when(F.col("l_quantity") < 40, F.col("l_quantity").cast("int") - 3).alias("guests"), F.when(tax > 0.01, F.col("check_in")).alias("check_in"),
+        F.when(F.col("l_linenumber") == 6, F.col("check_in")).when(tax > 0, F.col("check_out")).alias("check_out"),
+        F.when(discount == 0, -F.col("total_price")).when(discount < 0.1, F.col("total_price")).alias("total_price"))
+    return asked.select("id", "l_shipdate", request_reasons().alias("reasons"))
+
+
 def registration_rules(login, password, email, guests, min_login=V.MIN_LOGIN, min_password=V.MIN_PASSWORD) -> dict:
     return {
         "login": F.length(F.trim(login)) >= min_login,
@@ -146,7 +170,7 @@ LISTING = f"""{BOOKINGS} SELECT b.id, b.property_id, p_name AS property_name, ""
        CAST(total_price AS DOUBLE) AS total_price, status, created_at
 FROM bookings b JOIN part ON p_partkey = b.property_id ORDER BY created_at DESC, id""")
 def bookings_with_property(spark, sf_dir):
-    listed = views.with_property(views.bookings(spark, sf_dir), views.properties(spark, sf_dir))
+    listed = views.with_property(views.bookings(spark, sf_dir), views.properties(spark, sf_dir), views.stay_properties(spark, sf_dir))
     return listed.select(
         "id", "property_id", "property_name", X.iso_date("check_in").alias("check_in"),
         X.iso_date("check_out").alias("check_out"), F.col("total_price").cast("double").alias("total_price"),

@@ -40,7 +40,7 @@ def src_multi_topic(spark, sf_dir):
     messages = views.marketing_messages(table(spark, sf_dir, "events").filter(topic.isNotNull()), topic)
     root = f"{work_dir(spark, 'topics')}/messages"
     streams.write_file_topics(messages, root)
-    stream = streams.file_topics(spark, root, [V.TOPIC_BOOKINGS, V.TOPIC_MARKETING])
+    stream = streams.file_topics(spark, root, [V.TOPIC_BOOKINGS, V.TOPIC_MARKETING], streams.FILES_PER_BATCH)
     out = run_to_files(stream, "src-multi-topic")
     return batches(spark, out, schemas.MESSAGE).drop("batch")
 

@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayflow import fixed_values as V
+from stayflow import schemas
 from stayflow.functions import messages as M
 from stayflow.functions import scalars as X
 from stayflow.functions.privacy import Viewer, mask_bookings
 from stayflow.operators import writes
 from stayflow.operators.integrity import duplicate_keys
+from stayflow.sources.text import in_order
 from stayflow.operators.latest import latest_within, pick_first
 from stayflow.plans.catalog import BOOKINGS, NEWEST, OLDEST, STAYS, query
 from stayflow.session import work_dir
 from stayflow.sources import views
+from stayflow.sources.streams import FILES_PER_BATCH, table_stream
 from stayflow.sources.tables import table
+from stayflow.streaming import latest_table
+from stayflow.streaming.queries import start
 
 JSON_DATE = "strftime({0}, '%Y-%m-%d')"
 SENT_AT = "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -144,7 +149,7 @@ EXPORT_SQL_NAMES = dict(
   SELECT *, user_id = 7 AS mine FROM bookings JOIN part ON p_partkey = property_id)
 SELECT {', '.join(f'{sql} AS "{name}"' for name, sql in EXPORT_SQL_NAMES.items())} FROM seen""")
 def export_bookings_csv(spark, sf_dir):
-    listed = views.with_property(views.bookings(spark, sf_dir), views.properties(spark, sf_dir))
+    listed = views.with_property(views.bookings(spark, sf_dir), views.properties(spark, sf_dir), views.stay_properties(spark, sf_dir))
     seen = mask_bookings(listed, Viewer(user_id=7))
     shown = [
         F.col("id"), F.col("property_name"),
@@ -175,7 +180,7 @@ def metrics_text_render(spark, sf_dir):
     header = spark.createDataFrame([(h,) for h in V.CERT_HEADER], "value string")
     text = header.unionByName(table(spark, sf_dir, "orders").select(F.explode(lines).alias("value")))
     out = work_dir(spark, "metrics-text")
-    text.write.text(out)
+    in_order(text).write.text(out)
     return spark.read.text(out)
 
 
@@ -221,6 +226,31 @@ def retention_14d(spark, sf_dir):
     return writes.keep_recent(events, "ts", events.agg(F.max("ts")).scalar(), V.RETENTION_DAYS)
 
 
+@query("""SELECT event_id, ts, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY""")
+def retention_daily(spark, sf_dir):
+    """Over a table with a folder per day: only the folders of the last days are read."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    out = work_dir(spark, "daily-events")
+    writes.write_daily(events.withColumn("dt", X.iso_date("ts")), out)
+    daily = spark.read.schema("event_id long, ts timestamp_ntz, user_id long, dt string").parquet(out)
+    now = events.agg(F.max("ts")).first()[0]
+    return writes.kept_days(daily, "ts", now, V.RETENTION_DAYS).drop("dt")
+
+
+@query("""WITH last AS (SELECT max(ts) AS now FROM events)
+SELECT user_id, event_id, ts, props FROM events, last WHERE ts > now - INTERVAL 1 HOUR
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_stream(spark, sf_dir):
+    """The same as `latest_with_ttl`, kept up to date by a stream: it does not matter in which order rows are read."""
+    source = table_stream(spark, sf_dir, "events", schemas.EVENTS, FILES_PER_BATCH)
+    home = work_dir(spark, "latest")
+    kept = latest_table.LatestTable(spark, f"{home}/table", {"user_id": "long"}, {"ts": "timestamp_ntz", "event_id": "long"}, {"props": "string"}, buckets=8)
+    writer = source.writeStream.foreachBatch(kept.sink())
+    start(writer, home.rsplit("/", 1)[1], f"{home}/checkpoint").awaitTermination()
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    return kept.alive("ts", now, V.TTL_BOOKING).select("user_id", "event_id", "ts", "props")
+
+
 @query(f"""WITH {STAYS}, unique_stays AS (
   SELECT * FROM stays QUALIFY row_number() OVER (PARTITION BY id ORDER BY {NEWEST}) = 1),
 named AS (SELECT DISTINCT event_id FROM events WHERE event_type = 'purchase')

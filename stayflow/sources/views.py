@@ -92,7 +92,7 @@ def order_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = lookup_join(stays(spark, sf_dir), order_owners(spark, sf_dir), ["l_orderkey"])
+    joined = lookup_join(stays(spark, sf_dir), order_owners(spark, sf_dir), ["l_orderkey"], keys=table(spark, sf_dir, "lineitem").select("l_orderkey"))
     return joined.select(
         *STAY_COLUMNS,
         "user_id",
@@ -104,10 +104,18 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_property(bookings_df: DataFrame, properties_df: DataFrame) -> DataFrame:
-    """Bookings with the name of their property; bookings of unknown properties are dropped."""
+def stay_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The property of each stay, from one column of the stored table."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("property_id"))
+
+
+def with_property(bookings_df: DataFrame, properties_df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Bookings with the name of their property; bookings of unknown properties are dropped.
+
+    keys: the property_id column of the table that the bookings are made from, to count hot properties there.
+    """
     names = properties_df.select(F.col("id").alias("property_id"), F.col("name").alias("property_name"))
-    return lookup_join(bookings_df, names, ["property_id"])
+    return lookup_join(bookings_df, names, ["property_id"], keys=keys)
 
 
 def marketing_messages(events: DataFrame, topic: Column | None = None) -> DataFrame:

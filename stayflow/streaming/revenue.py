@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stayflow import fixed_values as V
 from stayflow.functions.messages import decode_marketing, with_event_time
 from stayflow.operators.joins import lookup_join
 from stayflow.operators.latest import pick_first
+from stayflow.streaming.bucketed import BucketedTable
 
 
 def decimal_value() -> Column:
@@ -50,6 +53,41 @@ def revenue_stream(messages: DataFrame, watermark: str = V.WATERMARK) -> DataFra
     return window_totals(with_event_time(decode_marketing(messages)).withWatermark("event_time", watermark))
 
 
+TOTALS = "cell string, window_start timestamp, property_id int, booking_count long, total decimal(22,2), valued long"
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """Partial totals of a window and property added up; adding sums up again gives the same."""
+    sums = [F.sum(c).alias(c) for c in ("booking_count", "valued")]
+    return rows.groupBy("cell").agg(
+        F.max("window_start").alias("window_start"), F.max("property_id").alias("property_id"), sums[0],
+        F.sum("total").cast("decimal(22,2)").alias("total"), sums[1])
+
+
+def totals_table(spark: SparkSession, path: str, **how) -> BucketedTable:
+    """Window totals that batches are added to, for a history of any length in batches of bounded size: nothing is held in
+    state, no row is too late, and a batch that comes twice counts once."""
+    return BucketedTable(spark, path, "cell", TOTALS, _added, **how)
+
+
+def totals_sink(table: BucketedTable, width: str = V.WINDOW, source: str = "messages") -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink for marketing messages: a batch is summed up by window and property before it is added."""
+    def write(batch: DataFrame, number: int) -> None:
+        rows = with_event_time(decode_marketing(batch)).where("event_time is not null")
+        cells = rows.groupBy(F.window("event_time", width)["start"].alias("window_start"), "property_id").agg(
+            F.count(F.lit(1)).alias("booking_count"), F.sum(decimal_value()).alias("total"), F.count("booking_value").alias("valued"))
+        cell = F.concat(F.unix_micros("window_start").cast("string"), F.lit("/"), F.coalesce(F.col("property_id").cast("string"), F.lit("")))
+        table.append(cells.withColumns({"cell": cell, "total": F.col("total").cast("decimal(22,2)")}), source, number, merged=True)
+
+    return write
+
+
+def table_windows(table: BucketedTable, width: str = V.WINDOW) -> DataFrame:
+    """The windows of a totals table as `window_totals` gives them."""
+    start = F.col("window_start")
+    return _told(table.table().withColumn("w", F.struct(start.alias("start"), (start + F.expr(f"INTERVAL {width}")).alias("end"))))
+
+
 def newest_windows(updates: DataFrame) -> DataFrame:
     """The last value of each window from the batches of an update-mode query."""
     last = pick_first(updates, ["window_start", "property_id"], [F.col("batch").desc()])

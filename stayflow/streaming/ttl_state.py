@@ -40,25 +40,28 @@ class _FirstSeen(StatefulProcessor):
 
 
 class _Latest(StatefulProcessor):
-    """Remember the last value of a key for a while, and pass on each change."""
+    """Remember the value of a key with the greatest order for a while, and pass on each change."""
 
-    def __init__(self, ttl_seconds: int, key: str, value: str):
-        self.ttl_ms, self.key_name, self.value_name = ttl_seconds * 1000, key, value
+    def __init__(self, ttl_seconds: int, key: str, value: str, order: str):
+        self.ttl_ms, self.key_name, self.value_name, self.order_name = ttl_seconds * 1000, key, value, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        kept = T.StructType([T.StructField("value", T.StringType())])
+        kept = T.StructType([T.StructField("value", T.StringType()), T.StructField("place", T.LongType())])
         self.last = handle.getValueState("last", kept, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        known = self.last.exists()
+        before, place = self.last.get() if known else (None, None)
+        newest = before
         for frame in rows:
-            newest = frame[self.value_name].iloc[-1]
-        if newest is None:
+            at = frame[self.order_name].idxmax()
+            if place is None or frame[self.order_name][at] >= place:
+                newest, place = frame[self.value_name][at], int(frame[self.order_name][at])
+        if place is None:
             return
-        before = self.last.get()[0] if self.last.exists() else None
-        self.last.update((newest,))
+        self.last.update((newest, place))
         if before != newest:
-            yield pd.DataFrame({self.key_name: [key[0]], self.value_name: [newest], "known": [before is not None]})
+            yield pd.DataFrame({self.key_name: [key[0]], self.value_name: [newest], "known": [known]})
 
     def close(self) -> None:
         pass
@@ -74,11 +77,14 @@ def first_seen(stream: DataFrame, keys: list[str], ttl_seconds: int = V.TTL_PROC
     )
 
 
-def latest_kept(stream: DataFrame, key: str, value: str, ttl_seconds: int = V.TTL_BOOKING) -> DataFrame:
-    """Changes of the last value per key; `known` tells whether the key was still remembered."""
+def latest_kept(stream: DataFrame, key: str, value: str, order: str, ttl_seconds: int = V.TTL_BOOKING) -> DataFrame:
+    """Changes of the latest value per key; `known` tells whether the key was still remembered.
+
+    Which value is the latest is told by `order`, a whole number that no row lacks, and not by the order in which rows are read.
+    """
     schema = T.StructType(
         [stream.schema[key], T.StructField(value, T.StringType()), T.StructField("known", T.BooleanType())]
     )
-    return stream.select(key, value).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Latest(ttl_seconds, key, value), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime"
+    return stream.select(key, value, order).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Latest(ttl_seconds, key, value, order), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime"
     )

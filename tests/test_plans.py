@@ -14,7 +14,8 @@ from stayflow.sources import views
 SF = "/root/testdata/sf0.001"
 STREAMED = {
     "src_event_stream", "src_multi_topic", "log_tail", "revenue_windows_append", "revenue_windows_update", "raw_event_append",
-    "late_data_report", "late_data_windows", "booking_ingest", "dedup_24h",
+    "late_data_report", "late_data_windows", "booking_ingest", "dedup_24h", "booking_requests", "request_messages", "latest_stream",
+    "revenue_windows_table",
 }
 
 

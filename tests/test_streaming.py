@@ -14,7 +14,7 @@ from stayflow import schemas
 from stayflow.functions import messages as M
 from stayflow.sources import streams, text
 from stayflow.streaming import bookings as B
-from stayflow.streaming import dedup, revenue, ttl_state
+from stayflow.streaming import dedup, latest_table, revenue, ttl_state
 from stayflow.streaming.queries import batch_files, batches, start
 from tests.conftest import rows
 
@@ -233,13 +233,14 @@ def test_wall_clock_ttl(spark, tmp_path, ttl, pause, expected):
 
 def test_latest_value_is_kept_for_a_while(spark, tmp_path):
     root, out = str(tmp_path / "in"), str(tmp_path / "out")
-    put(spark, root, [("t", "a", "1"), ("t", "b", "1")])
-    changes = ttl_state.latest_kept(streams.file_topics(spark, root, ["t"]), "key", "value")
+    put(spark, root, [("t", "a", "1"), ("t", "b", "1"), ("t", "b", "0")])
+    numbered = streams.file_topics(spark, root, ["t"]).withColumn("place", F.col("value").cast("long"))
+    changes = ttl_state.latest_kept(numbered, "key", "value", "place")
     read = key_reader(spark, out, changes.schema)
     query = start(changes.writeStream.outputMode("update").foreachBatch(batch_files(out)), name(), str(tmp_path / "cp"), trigger="0 seconds")
     try:
         wait(query, lambda: len(read()) >= 2)
-        put(spark, root, [("t", "a", "1"), ("t", "b", "2")])  # a does not change
+        put(spark, root, [("t", "a", "1"), ("t", "a", "-5"), ("t", "b", "2"), ("t", "b", "1")])  # a does not change
         wait(query, lambda: len(read()) >= 3)
     finally:
         query.stop()
@@ -247,6 +248,42 @@ def test_latest_value_is_kept_for_a_while(spark, tmp_path):
     assert got == [("a", "1", False), ("b", "1", False), ("b", "2", True)]
 
 
+def test_the_latest_table_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rng, base = random.Random(2), dt.datetime(2024, 1, 1)
+    given = [(f"k{rng.randrange(9)}", base + dt.timedelta(minutes=rng.randrange(600)), i) for i in range(200)] + [("none", None, 1)]
+    expected = {}
+    for key, when, i in given:
+        if when is not None:
+            expected[key] = max(expected.get(key, (base, -1)), (when, i))
+    for turn in range(2):
+        rng.shuffle(given)
+        table = latest_table.LatestTable(spark, f"{tmp_path}/{turn}", {"k": "string"}, {"ts": "timestamp_ntz", "i": "long"}, {"note": "string"},
+                                         buckets=4, compact_after=2)
+        for number, at in enumerate(range(0, len(given), 70)):
+            batch = spark.createDataFrame(given[at:at + 70], "k string, ts timestamp_ntz, i long").withColumn("note", F.lit("x"))
+            table.sink()(batch, number)
+            table.sink()(batch, number)
+        now = F.lit("2024-01-01 10:30:00").cast("timestamp_ntz")
+        alive = {k: v for k, v in expected.items() if v[0] > base + dt.timedelta(minutes=630) - dt.timedelta(hours=1)}
+        assert {r.k: (r.ts, r.i) for r in table.alive("ts", now, 3600).collect()} == alive and alive
+
+
+def test_totals_in_a_table_over_batches(spark, tmp_path):
+    table = revenue.totals_table(spark, str(tmp_path), buckets=4, compact_after=2)
+    sink = revenue.totals_sink(table)
+    parts = [marketing(("10:00:00", 1, 5.0), ("10:01:00", 1, 7.0)), marketing(("09:00:00", 1, 1.0), ("10:02:00", 1, None)), marketing(("10:04:59", 1, 2.5)),
+             marketing(("10:00:00", 2, 4.0))]
+    for number, part in enumerate(parts):
+        batch = spark.createDataFrame(part, schemas.MESSAGE)
+        sink(batch, number)
+        sink(batch, number)
+    every = spark.createDataFrame([m for p in parts for m in p], schemas.MESSAGE)
+    expected = revenue.revenue_batch(every)
+    found = revenue.table_windows(table)
+    assert found.columns == expected.columns
+    assert rows(found, "window_start", "property_id") == rows(expected, "window_start", "property_id") and found.count() == 3
+
+
 def test_log_tail_labels_files(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_text("one\n\ntwo\r\n")

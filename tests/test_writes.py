@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from stayflow import fixed_values as V
 from stayflow.operators import integrity, writes
 from stayflow.operators.latest import latest_within, pick_first
+from stayflow.sources import text
 from tests.conftest import rows
 
 
@@ -97,3 +102,32 @@ def test_orphan_references_are_counted_per_reference(spark):
     refs = spark.createDataFrame([(1,), (1,), (2,), (None,)], "p int")
     targets = spark.createDataFrame([(2,)], "id int")
     assert rows(integrity.orphan_references(refs, "p", targets, "id")) == [(1, 2)]
+
+
+def test_retention_reads_the_last_days_only(spark, tmp_path):
+    now = dt.datetime(2024, 3, 20, 10, 30)
+    given = [(i, now - dt.timedelta(hours=9 * i)) for i in range(60)] + [(100, dt.datetime(2024, 3, 6, 10, 30)), (101, dt.datetime(2024, 3, 6, 10, 29, 59))]
+    rows = spark.createDataFrame(given, "i long, ts timestamp_ntz").withColumn("dt", F.date_format("ts", "yyyy-MM-dd"))
+    writes.write_daily(rows, str(tmp_path))
+    daily = spark.read.schema("i long, ts timestamp_ntz, dt string").parquet(str(tmp_path))
+    kept = writes.kept_days(daily, "ts", now, 14)
+    cut = dt.datetime(2024, 3, 6, 10, 30)
+    assert sorted(r.i for r in kept.collect()) == sorted(i for i, ts in given if ts >= cut)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*dt#", plan)
+    # Only the border day's rows are compared by their time; the rest is told by the folder.
+    days = sorted({r.dt for r in kept.select("dt").distinct().collect()})
+    assert days[0] == "2024-03-06"
+    expired = writes.expired_days(daily, now, 14)
+    assert expired and expired[-1] < "2024-03-06" and set(expired).isdisjoint(days)
+
+
+def test_a_metrics_text_has_its_header_first(spark, tmp_path):
+    lines = [f'cert_days_remaining{{secret="{i}"}} {i}' for i in range(50)] + [f'cert_not_after_seconds{{secret="{i}"}} {i}' for i in range(50)] + V.CERT_HEADER
+    text.in_order(spark.createDataFrame([(x,) for x in lines], "value string").repartition(7)).write.text(str(tmp_path / "out"))
+    found = [x for f in sorted((tmp_path / "out").glob("part-*.txt")) for x in f.read_text().splitlines()]
+    assert sorted(found) == sorted(lines)
+    for metric in ("cert_days_remaining", "cert_not_after_seconds"):
+        own = [x for x in found if metric in x]
+        assert [x.split()[1] for x in own[:2]] == ["HELP", "TYPE"] and not any(x.startswith("#") for x in own[2:])
+        assert found.index(own[0]) + 51 == found.index(own[-1])
