@@ -30,7 +30,8 @@ STEPS = 160
 BATCH = 512
 HIDDEN = 8
 SEGMENT = 48
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 500_000
+SLICE = 1 << 20
 UNKNOWN = "und"
 #: Scores are counted in steps of 1 / SCORE_STEPS; the lowest LOWEST of the rightly judged ones do not set the threshold.
 SCORE_STEPS = 1000
@@ -175,36 +176,45 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Network:
     return net
 
 
-#: What this process knows of words, for the network of the running query.
-_KNOWN: dict[str, dict[bytes, bytes]] = {}
+class _Known:
+    """What a task knows of words, by their 64-bit hash: arrays in order of the hashes, of at most KNOWN_WORDS words."""
 
+    def __init__(self, width: int):
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
 
-def _word_chances(net: Network, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sum over the bytes of each word of the chances of the languages; a word met before is looked up."""
-    if net.name not in _KNOWN or len(_KNOWN[net.name]) > KNOWN_WORDS:
-        _KNOWN.clear()
-        _KNOWN[net.name] = {}
-    known, raw = _KNOWN[net.name], data.tobytes()
-    kinds = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-    new = np.array([i for i, w in enumerate(kinds) if w not in known], np.int64)
-    if len(new):
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > KNOWN_WORDS:
+            self.__init__(values.shape[1])
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes, self.values = np.concatenate([self.hashes, hashes])[order], np.concatenate([self.values, values])[order]
+
+
+def _word_chances(net: Network, known: _Known, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum over the bytes of each word of the chances of the languages; a word that the task knows is looked up."""
+    out = np.zeros((len(hashes), len(net.languages)), np.float32)
+    new = np.ones(len(hashes), bool)
+    if len(known.hashes):
+        at = np.minimum(np.searchsorted(known.hashes, hashes), len(known.hashes) - 1)
+        new = known.hashes[at] != hashes
+        out[~new] = known.values[at[~new]]
+    if new.any():
         begin, size, word = _segments(data, starts[new], ends[new])
-        found = np.zeros((len(new), len(net.languages)), np.float32)
+        found = np.zeros((int(new.sum()), len(net.languages)), np.float32)
         for at in range(0, len(begin), 4096):
             part = slice(at, at + 4096)
             np.add.at(found, word[part], net.chances(data, begin[part], size[part]))
-        flat, width = found.tobytes(), 4 * len(net.languages)
-        known.update((kinds[i], flat[k * width:(k + 1) * width]) for k, i in enumerate(new.tolist()))
-    return np.frombuffer(b"".join([known[w] for w in kinds]), np.float32).reshape(len(kinds), -1)
+        out[new] = found
+        known.add(hashes[new], found)
+    return out
 
 
-def _judge(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+def _judge(net: Network, known: _Known, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     words, n = split_words(data, offsets), len(offsets) - 1
     total = np.zeros((n, len(net.languages)))
     if len(words.starts):
-        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        per_word = _word_chances(net, data, words.starts[first], words.ends[first])
+        hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        per_word = _word_chances(net, known, hashes, data, words.starts[first], words.ends[first])
         owner = words.owner()
         for k in range(len(net.languages)):
             total[:, k] = np.bincount(owner, per_word[which, k], n)
@@ -234,9 +244,10 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", lang_c
         return docs.withColumns({lang_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
 
     def work(batches):
+        known = _Known(len(net.languages))  # for this task; a worker that goes on to other work holds nothing
         for batch in batches:
-            for rows, data, offsets in slices(batch, text_col):
-                languages, score = _judge(net, data, offsets)
+            for rows, data, offsets in slices(batch, text_col, SLICE):
+                languages, score = _judge(net, known, data, offsets)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(languages, pa.string()), pa.array(score, pa.float64())],
                                                  [*rows.schema.names, lang_col, score_col])
 

@@ -25,8 +25,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayflow.llm.components import smallest_reachable
 from stayflow.llm.texts import fresh, mix, slices, split_words, window_hashes
@@ -36,9 +38,11 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 ODD_BITS, PARITY_BITS = 512, 1024
 BLOCK = 1024
+LEFT_ROWS = 64
+SLICE = 1 << 19
 
 _KEYS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 31)
-_SKETCH = "doc_id long, n long, set_id binary, bands array<long>, odd binary, parity binary"
+_SKETCH = "n long, set_id binary, bands array<long>, odd binary, parity binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +90,7 @@ def _set_ids(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _sketches(length: int):
     def work(batches):
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, most=SLICE):
                 value, first = shingle_sets(data, offsets, length)
                 sizes = np.diff(first)
                 full = np.flatnonzero(sizes)
@@ -121,7 +125,7 @@ def _full_sets(length: int):
     """Rows of doc_id, text, set_id to set_id, hashes; texts of a repeated id that have another set are passed over."""
     def work(batches):
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, most=SLICE):
                 value, first = shingle_sets(data, offsets, length)
                 full = np.flatnonzero(np.diff(first))
                 if not len(full):
@@ -179,37 +183,59 @@ def _linked_rows(bounds: _Bounds):
     return work
 
 
+def _best(found: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """Arrays (low, high, score, a, b): the `most` first rows of each (low, high), ordered by score and place."""
+    order = np.lexsort((found[4], found[3], found[2], found[1], found[0]))
+    found = [x[order] for x in found]
+    new = np.ones(len(order), bool)
+    new[1:] = (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return [x[rank < most] for x in found] + [rank[rank < most]]
+
+
 def _block_rows(bounds: _Bounds, most: int):
-    """Likely pairs across components in each block; `more` tells that a pair of components has more than `most`."""
-    def pairs_of(rows: pa.Table):
+    """Likely pairs across components in each block; `more` tells that a pair of components has more than `most`.
+
+    The block is compared in slices of LEFT_ROWS rows against all others, as arrays; after each slice only the likeliest pairs
+    of each two components are held.
+    """
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
         side = np.asarray(rows.column("side"))
-        label, n = np.asarray(rows.column("label")), np.asarray(rows.column("n"))
-        ids = rows.column("set_id").to_pylist()
+        label, n = rows.column("label").combine_chunks(), np.asarray(rows.column("n"))
+        fields = label.flatten() if pa.types.is_struct(label.type) else [label]
+        _, group = np.unique(np.stack([np.asarray(f) for f in fields], axis=1), axis=0, return_inverse=True)
         odd = _matrix(rows.column("odd").combine_chunks(), ODD_BITS // 64)
         parity = _matrix(rows.column("parity").combine_chunks(), PARITY_BITS // 64)
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        found = []
-        for i in left:
-            other = right[label[right] != label[i]]
-            ok, differ = bounds.likely(n[i], odd[i], parity[i], n[other], odd[other], parity[other])
-            found += [(min(label[i], label[j]), max(label[i], label[j]), d / (n[i] + n[j]), *sorted((ids[i], ids[j])))
-                      for j, d in zip(other[ok], differ[ok])]
-        used: dict[tuple[int, int], int] = {}
-        out = {}
-        for low, high, _, a, b in sorted(set(found)):
-            used[low, high] = used.get((low, high), 0) + 1
-            if used[low, high] <= most:
-                out[a, b] = (low, high)
-        return [(a, b, used[k] > most) for (a, b), k in out.items()]
+        kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64, np.int64)]
+        for at in range(0, len(left), LEFT_ROWS):
+            i = left[at:at + LEFT_ROWS]
+            # Rows that are on both sides meet once only.
+            apart = (group[i][:, None] != group[right]) & ~((side[i] == 3)[:, None] & (side[right] == 3) & (i[:, None] >= right))
+            x, y = np.nonzero(apart)
+            i, j = i[x], right[y]
+            found = []
+            for part in range(0, len(i), LEFT_ROWS * BLOCK // 8):
+                a, b = i[part:part + LEFT_ROWS * BLOCK // 8], j[part:part + LEFT_ROWS * BLOCK // 8]
+                ok, differ = bounds.likely(n[a], odd[a], parity[a], n[b], odd[b], parity[b])
+                a, b = a[ok], b[ok]
+                found.append((np.minimum(group[a], group[b]), np.maximum(group[a], group[b]), differ[ok] / (n[a] + n[b]), np.minimum(a, b), np.maximum(a, b)))
+            # Rows come in order of set_id, so the place stands for it.
+            kept = _best([np.concatenate([k, *(f[c] for f in found)]) for c, k in enumerate(kept[:5])], most + 1)
+        low, high, _, a, b, rank = kept if len(kept) == 6 else _best(kept, most + 1)
+        over = np.zeros(len(low), bool)
+        if len(low):
+            pair = np.cumsum(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) - 1
+            full = np.zeros(pair[-1] + 1, bool)
+            full[pair[rank == most]] = True
+            over = full[pair]
+        keep = rank < most
+        ids = rows.column("set_id").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a[keep])), ids.take(pa.array(b[keep])), pa.array(over[keep])], ["a", "b", "more"])
 
     def work(batches):
         held, key = [], None
 
-        def done():
-            got = pairs_of(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary()),
-                                               pa.array([g[2] for g in got], pa.bool_())], ["a", "b", "more"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -217,12 +243,12 @@ def _block_rows(bounds: _Bounds, most: int):
             cuts = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if held and key != task[a]:
-                    yield done()
+                    yield pairs_of(pa.Table.from_batches(held))
                     held = []
                 key = task[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield done()
+            yield pairs_of(pa.Table.from_batches(held))
     return work
 
 
@@ -256,17 +282,19 @@ def _blocks(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
 def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that can be reached by links) and kept, for every row.
 
-    Other columns of `docs` are not used, whatever their names.
+    Ids are whole numbers, or structs of them. Other columns of `docs` are not used, whatever their names.
     """
     spark, bounds = docs.sparkSession, _Bounds(percent)
     folder = work_dir(spark, "near-dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = F.col(id_col) if isinstance(docs.schema[id_col].dataType, T.StructType) else F.col(id_col).cast("long")
+    rows = docs.select(own.alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    every = stored(rows.mapInArrow(_sketches(shingle_words), _SKETCH), "sketches")
+    every = stored(rows.mapInArrow(_sketches(shingle_words), f"doc_id {kind}, {_SKETCH}"), "sketches")
     first = F.min_by(F.struct("n", "bands", "odd", "parity"), "doc_id").alias("of")
     classes = every.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("label"), first)
     classes = stored(classes.select("set_id", "label", "of.*"), "classes")
@@ -314,17 +342,28 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_co
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                    as_read: bool = False) -> DataFrame:
     """`docs`, all its columns, with one row of each component, whatever the ids: every row gets a key of its own.
 
     The row with the smallest id stays, of several with this id any one; rows without an id stand behind all others.
     Rows without shingles (null or empty text) all stay.
+
+    as_read: `docs` comes from files, with filters or projections at most. Then a row's file and its place in it are its key;
+    otherwise the rows are written once, so that a key stays with its row.
     """
     spark = docs.sparkSession
     key, absent = fresh(docs, "row_key", "absent")
-    folder = work_dir(spark, "near-dedup-rows")
-    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)  # written, so that a key stays with its row
-    keyed = spark.read.parquet(folder)
+    keyed = None
+    if as_read:
+        try:
+            keyed = docs.withColumn(key, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+        except AnalysisException:
+            pass  # not from files
+    if keyed is None:
+        folder = work_dir(spark, "near-dedup-rows")
+        docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)
+        keyed = spark.read.parquet(folder)
     of = components(keyed, shingle_words, percent, key, text_col).select(F.col("doc_id").alias(key), "component_id")
     ids = keyed.select(key, F.col(id_col).isNull().alias(absent), F.col(id_col).alias("first_id"))
     first = ids.join(of, key).groupBy("component_id").agg(F.min(F.struct(absent, "first_id", key)).alias("first"))

@@ -19,6 +19,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that numpy works on at a time; a longer text is one slice of its own.
 SLICE_BYTES = 2 << 20
+HASHED_BYTES = 1 << 18
 #: Rows in an Arrow batch: bounds what a task holds when texts are long.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -83,11 +84,19 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         lengths = self.ends - self.starts
-        begin = np.cumsum(lengths) - lengths
-        within = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-        at = within + np.repeat(self.starts, lengths)
-        values = _BYTES[self.data[at]] * _powers(_MULTIPLIER, int(lengths.max()))[within]
-        return mix(np.add.reduceat(values, begin))
+        upto = np.cumsum(lengths)
+        powers = _powers(_MULTIPLIER, int(lengths.max()))
+        out, first = np.empty(len(lengths), np.uint64), 0
+        while first < len(lengths):  # some bytes at a time: the places of all of them take several times the text
+            done = int(upto[first - 1]) if first else 0
+            to = max(first + 1, int(np.searchsorted(upto, done + HASHED_BYTES, side="right")))
+            size = lengths[first:to]
+            begin = np.cumsum(size) - size
+            within = np.arange(int(size.sum())) - np.repeat(begin, size)
+            values = _BYTES[self.data[within + np.repeat(self.starts[first:to], size)]] * powers[within]
+            out[first:to] = np.add.reduceat(values, begin)
+            first = to
+        return mix(out)
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
