@@ -8,12 +8,16 @@ Labels are known for documents, so in training all lines of a document carry its
 driver in numpy with Adam on at most TRAIN_DOCS labelled documents chosen by hash over the whole table, in pieces of
 TRAIN_LINES lines; scoring reads every line of every text.
 
+Texts are scored in groups of few lines; what is held of a text of many lines is some numbers a line.
+
 A null or empty text is one empty line and gets that line's chance. Without labelled documents every score is 0.5.
 Documents that repeat an id are judged each; a label that repeats an id counts once per row.
 """
 
 from __future__ import annotations
 
+from math import exp, log1p
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +29,8 @@ TRAIN_DOCS = 3000
 TRAIN_LINES = 64
 STEPS = 250
 BATCH = 256
+#: Lines, with padding, that are worked on at a time.
+CELLS = 1 << 15
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -39,8 +45,11 @@ def _codes(low: int, high: int) -> np.ndarray:
 _KINDS = [_codes(65, 90), _codes(97, 122), _codes(48, 57), _codes(128, 255), _SYMBOL, _MARK, np.arange(256) == ord("!")]
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per line: features, length in bytes; and the first line of each text. Lines end at line feeds."""
+def own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Per line: its own features, column by column, its length in bytes, its text; and the first line of each text.
+
+    Lines end at line feeds.
+    """
     feeds = np.flatnonzero(data == 10)
     kinds = np.concatenate([np.zeros(len(offsets) - 1, np.int64), np.ones(len(feeds), np.int64)])
     at = np.concatenate([offsets[:-1], feeds + 1])
@@ -89,12 +98,23 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     columns.append(np.log1p(n) / 3)
     columns.append((n == 0).astype(float))
     columns.append(np.log1p(words.counts)[text] / 5)
-    own = np.stack(columns, axis=1).astype(np.float64)
-    before, after = np.zeros_like(own), np.zeros_like(own)
+    return columns, np.maximum(size, 1), text, first
+
+
+def _neighbours(column: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
+    """A column of the line itself, the line before and the line after; 0 where the text has none."""
     inner = text[1:] == text[:-1]
-    before[1:][inner] = own[:-1][inner]
-    after[:-1][inner] = own[1:][inner]
-    return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1), np.maximum(size, 1), first
+    before, after = np.zeros_like(column), np.zeros_like(column)
+    before[1:][inner] = column[:-1][inner]
+    after[:-1][inner] = column[1:][inner]
+    return [column, before, after]
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per line: features of the line and its neighbours, length in bytes; and the first line of each text."""
+    columns, size, text, first = own_features(data, offsets)
+    around = [_neighbours(c.astype(np.float64), text) for c in columns]
+    return np.stack([*(a[part] for part in range(3) for a in around), np.ones(len(size))], axis=1), size, first
 
 
 class LineField:
@@ -106,6 +126,16 @@ class LineField:
     def evidence(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weights
 
+    def evidence_of(self, columns: list[np.ndarray], text: np.ndarray) -> np.ndarray:
+        """The same from the lines' own columns, one at a time, without a matrix of all features."""
+        slope = self.weights / self.scale
+        total = np.full(len(text), (1 - self.mean[-1]) * slope[-1])
+        for k, column in enumerate(columns):
+            for part, values in enumerate(_neighbours(column.astype(np.float64), text)):
+                at = part * len(columns) + k
+                total += (values - self.mean[at]) * slope[at]
+        return total
+
 
 def marginals(evidence: np.ndarray, lengths: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded sequences (sequence, line): chances of good, of each pair of labels, log of the sum."""
@@ -172,16 +202,46 @@ def train(samples: list[tuple[str | None, int]], seed: int = 11) -> LineField:
     return LineField(mean, scale, theta["w"], theta["tie"])
 
 
+def chances_of_one(evidence: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The chance of each line of one text to be good: forward-backward over differences of the two labels' scores.
+
+    Only the difference between good and bad is carried along, so a text needs two numbers a line, however many it has.
+    """
+    (bb, bg), (gb, gg) = tie.tolist()
+    given = evidence.tolist()
+    add = lambda a, b: max(a, b) + log1p(exp(-abs(a - b)))
+    ahead, at = [], 0.0
+    for i, e in enumerate(given):
+        at = e + (add(bg, at + gg) - add(bb, at + gb) if i else 0.0)
+        ahead.append(at)
+    out, back = np.empty(len(given)), 0.0
+    for i in range(len(given) - 1, -1, -1):
+        out[i] = ahead[i] + back
+        after = given[i] + back
+        back = add(gb, gg + after) - add(bb, bg + after)
+    return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
+
+
 def score_texts(field: LineField, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    x, size, first = features(data, offsets)
-    evidence = field.evidence(x)
-    out = np.zeros(len(first) - 1)
-    order = np.argsort(np.diff(first), kind="stable")
-    for at in range(0, len(order), 128):
-        which = order[at:at + 128]
-        padded, lengths = _padded(evidence, first, which)
-        good, _, _ = marginals(padded, lengths, field.tie)
-        weight = _padded(size, first, which)[0] * (np.arange(padded.shape[1]) < lengths[:, None])
+    """Scores of texts. Texts are padded to the longest of a group that has CELLS lines at most; a longer text is one by itself."""
+    columns, size, text, first = own_features(data, offsets)
+    evidence = field.evidence_of(columns, text)
+    lines = np.diff(first)
+    out = np.zeros(len(lines))
+    order = np.argsort(lines, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = lines[order[at:at + 128]]
+        fits = int((longest * np.arange(1, len(longest) + 1) <= CELLS).sum())  # lines grow, so do the cells
+        which = order[at:at + max(fits, 1)]
+        at += len(which)
+        if len(which) == 1:
+            own = slice(first[which[0]], first[which[0] + 1])
+            good, weight = chances_of_one(evidence[own], field.tie)[None], size[own][None]
+        else:
+            padded, lengths = _padded(evidence, first, which)
+            good, _, _ = marginals(padded, lengths, field.tie)
+            weight = _padded(size, first, which)[0] * (np.arange(padded.shape[1]) < lengths[:, None])
         out[which] = (good * weight).sum(axis=1) / weight.sum(axis=1)
     return np.clip(out, 0, 1)
 
