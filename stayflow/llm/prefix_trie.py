@@ -235,22 +235,24 @@ def _shards(heads: int, group: int):
 
 def _end_lists(batches):
     """Rows (node_a, node_b, ends) in order of node and place to one hash per node, part by part."""
-    def told(key, state):
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([state.hexdigest()])],
-                                          ["node_a", "node_b", "ends_sha256"])
+    def told(done):
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
+                                           pa.array([d[2] for d in done], pa.string())], ["node_a", "node_b", "ends_sha256"])
 
     key, state = None, None
     for batch in batches:
+        done = []
         for a, b, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             part = ",".join(map(str, ends.as_py())).encode()
             if (a, b) == key:
                 state.update(b"," + part)
                 continue
             if key is not None:
-                yield told(key, state)
+                done.append((*key, state.hexdigest()))
             key, state = (a, b), hashlib.sha256(part)
+        yield told(done)
     if key is not None:
-        yield told(key, state)
+        yield told([(*key, state.hexdigest())])
 
 
 def turns_in_order(conversations: DataFrame, group: int, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
