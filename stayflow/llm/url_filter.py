@@ -9,7 +9,8 @@ distributions, taken by mean and deviation, are equally far off.
 Counts are made once over all n-grams of all urls; shorter n-grams are sums of longer ones. A group of equal contexts
 has one row per following character. Scores are joined to urls by n-gram; a frequent n-gram has one row per url.
 
-Null urls and urls without :// have an empty host and path, no rule and score 0. Repeated rows are judged alike.
+Urls are scored whole; cutting one into n-grams costs the square of its length, so urls of many thousand characters are slow,
+not dropped. An empty table gives an empty result. Null urls and urls without :// have an empty host and path, no rule and score 0. Repeated rows are judged alike.
 Without ruled urls of both kinds there is nothing to compare, and all urls without a rule are allowed.
 """
 
