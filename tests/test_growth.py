@@ -34,6 +34,20 @@ def test_the_outbox_has_one_row_per_booking(spark, tmp_path):
     assert {(r.seq, r.key) for r in kept} == {(r.seq, r.key) for r in spark.read.schema(R.OUTBOX).parquet(f"{home}/again").collect()}
 
 
+def test_all_messages_of_an_outbox_row_are_published_once(spark, tmp_path):
+    home = str(tmp_path)
+    table = R.request_table(spark, f"{home}/table", buckets=4)
+    at = F.lit(dt.datetime(2025, 12, 1, 8, 0, 0, 123456))
+    R.create_batch(table, home, RING)(request(spark, "a", "b", "c").withColumn("created_at", at), 0)
+    publish(spark, home, 0)
+    publish(spark, home, 1)
+    sent = published(spark, home).collect()
+    assert sorted(r.seq for r in sent) == list(range(1, 10))
+    expected = M.fan_out(R.bookings(table, RING)).collect()
+    assert sorted((r.topic, r.key, r.value) for r in sent) == sorted((r.topic, r.key, r.value) for r in expected)
+    assert any("08:00:00.123456" in r.value for r in sent if r.topic == V.TOPIC_BOOKINGS)
+
+
 def test_filters_are_asked_without_moving_keys(spark, tmp_path):
     table = small_table(spark, tmp_path, filter_words=1)
     table.append(pairs(spark, *((f"k{i}", i) for i in range(40))), "s", 0)
