@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stayflow import fixed_values as V
 from stayflow.functions.messages import cast_booking, read_booking
-from stayflow.operators.writes import update_where_key
+from stayflow.operators.writes import few_folders, update_where_key
 from stayflow.streaming.bucketed import BucketedTable
 
 # Columns that a booking message may set.
@@ -30,9 +30,19 @@ STATE_FIELDS = {
     if name not in ("booking_id", "timestamp", "rejected", "sent")
 }
 
-# A field with the time of its message; `tie` orders messages of the same time.
-STATE_SCHEMA = "booking_id string, created timestamp, " + ", ".join(
-    f"{name} struct<sent: timestamp, tie: binary, value: {kind}>" for name, kind in STATE_FIELDS.items())
+# Fields that an accepted message need not carry.
+SOMETIMES = ["event", "event_id", "guest_email", "phone", "guests"]
+
+# All of them: first what every accepted message carries, of which the digest covers all but the description. So of messages of
+# one time and digest the one with the greatest description is the greatest.
+LAST_FIELDS = [*(name for name in STATE_FIELDS if name not in SOMETIMES), *SOMETIMES]
+
+# `last` is what the last message sets; `tie` orders messages of the same time. A field that `last` does not carry, or that
+# another message of the same time and digest sets higher, stands by itself with the time of its message.
+STATE_SCHEMA = (
+    f"booking_id string, created timestamp, last struct<sent: timestamp, tie: binary, {', '.join(f'{n}: {STATE_FIELDS[n]}' for n in LAST_FIELDS)}>, "
+    + ", ".join(f"{name} struct<sent: timestamp, tie: binary, value: {STATE_FIELDS[name]}>" for name in SOMETIMES))
+STATE_COLUMNS = ["booking_id", "created", "last", *SOMETIMES]
 
 
 def _tie() -> Column:
@@ -43,11 +53,15 @@ def _tie() -> Column:
 
 def to_state(good: DataFrame) -> DataFrame:
     """Accepted messages as rows of the state, one per message."""
-    dated = good.withColumn("_tie", _tie())
-    fields = [
-        F.when(F.col(c).isNotNull(), F.struct("sent", F.col("_tie").alias("tie"), F.col(c).alias("value"))).alias(c) for c in STATE_FIELDS
-    ]
-    return dated.select("booking_id", F.col("sent").alias("created"), *fields)
+    alone = [F.lit(None).cast(f"struct<sent: timestamp, tie: binary, value: {STATE_FIELDS[name]}>").alias(name) for name in SOMETIMES]
+    last = F.struct("sent", _tie().alias("tie"), *LAST_FIELDS)
+    return good.select("booking_id", F.col("sent").alias("created"), last.alias("last"), *alone)
+
+
+def _own(name: str) -> Column:
+    """A field as the last message carries it; NULL if it does not."""
+    value = F.col(f"last.{name}")
+    return F.when(value.isNotNull(), F.struct(F.col("last.sent").alias("sent"), F.col("last.tie").alias("tie"), value.alias("value")))
 
 
 def merge_state(rows: DataFrame) -> DataFrame:
@@ -55,7 +69,15 @@ def merge_state(rows: DataFrame) -> DataFrame:
 
     Rows are combined before the shuffle, and it does not matter in which order or how often they are merged.
     """
-    return rows.groupBy("booking_id").agg(F.min("created").alias("created"), *(F.max(c).alias(c) for c in rows.columns if c not in ("booking_id", "created")))
+    _check_columns(rows)
+    fields = [F.max(F.coalesce(F.col(c), _own(c))).alias(c) for c in SOMETIMES]
+    merged = rows.groupBy("booking_id").agg(F.min("created").alias("created"), F.max("last").alias("last"), *fields)
+    return merged.withColumns({c: F.when(~F.col(c).eqNullSafe(_own(c)), F.col(c)) for c in SOMETIMES})
+
+
+def _check_columns(rows: DataFrame) -> None:
+    if set(rows.columns) != set(STATE_COLUMNS):
+        raise ValueError("the bookings were stored in an older form: ingest their messages into a new folder")
 
 
 def state_table(spark: SparkSession, path: str, **how) -> BucketedTable:
@@ -65,7 +87,8 @@ def state_table(spark: SparkSession, path: str, **how) -> BucketedTable:
 
 def enrich(state: DataFrame) -> DataFrame:
     """The bookings of merged state rows, with the constant columns of a saved booking; defaults are for what no message carries."""
-    values = {c: F.col(f"{c}.value") for c in STATE_FIELDS}
+    _check_columns(state)
+    values = {c: F.coalesce(f"{c}.value", f"last.{c}") if c in SOMETIMES else F.col(f"last.{c}") for c in STATE_FIELDS}
     rows = state.select("booking_id", F.col("created").cast("timestamp_ntz").alias("created_at"), *(v.alias(c) for c, v in values.items()))
     return rows.withColumns({
         "guests": F.coalesce("guests", F.lit(V.DEFAULT_GUESTS)), "status": F.lit(V.STATUS_CONFIRMED), "pipeline": F.lit(V.PIPELINE_LABEL),
@@ -88,7 +111,8 @@ def ingest_batch(path: str, source: str = "messages", **how) -> Callable[[DataFr
             "accepted": F.col("rejected") == "", "guests": F.when(F.col("guests_sent"), F.col("guests")),
             "sent": F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp()),
         })
-        cast.drop("guests_sent").write.mode("overwrite").partitionBy("accepted").parquet(folder)
+        with few_folders(spark, 2):
+            cast.drop("guests_sent").write.mode("overwrite").option("compression", "zstd").partitionBy("accepted").parquet(folder)
         fresh = spark.read.schema(f"{RECORD_SCHEMA}, accepted boolean").parquet(folder).where("accepted")
         bookings.append(to_state(fresh), source, batch_id)
 

@@ -73,3 +73,17 @@ def test_buckets_with_one_part_are_read_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(table.table())
     table.append(pairs(spark, ("k1", 900)), "s", 1)
     assert rows(table.table(), "id") == sorted([(f"k{i}", i) for i in range(60) if i != 1] + [("k1", 900)])
+
+
+def test_the_state_holds_each_time_and_digest_once(spark, tmp_path):
+    sink = B.ingest_batch(str(tmp_path), buckets=2)
+    sink(spark.createDataFrame([message("a", 10, "2024-01-01T08:00:00Z", phone="1"), message("a", 20, "2024-01-02T08:00:00Z", guests=3),
+                                message("b", 5, "2024-01-01T08:00:00Z", phone="2", guests=1)], "value string"), 0)
+    state = {r.booking_id: r for r in B.state_table(spark, str(tmp_path), buckets=2).table().collect()}
+    assert state["a"].phone.value == "1" and state["a"].guests is None and state["a"]["last"].guests == 3
+    assert state["b"].phone is None and state["b"].guests is None and state["b"]["last"].phone == "2"
+    sink(spark.createDataFrame([message("b", 6, "2024-01-03T08:00:00Z")], "value string"), 1)
+    found = rows(B.booking_table(spark, str(tmp_path), buckets=2).select("booking_id", "phone", "guests", F.col("total_price").cast("int")), "booking_id")
+    assert found == [("a", "1", 3, 20), ("b", "2", 1, 6)]
+    with pytest.raises(ValueError, match="older form"):
+        B.enrich(spark.createDataFrame([("a", 1)], "booking_id string, guests int"))
