@@ -142,34 +142,40 @@ MAIL_FIELDS = T.StructType(
 )
 
 
+def _mails(number: Column, guest: Column, check_in: Column, check_out: Column, price: Column, brand: str, to: dict[str, Column]) -> dict[str, Column]:
+    """By topic, the mail that its messages call for, from the texts in a message; `to` names the recipients."""
+    name, sender = F.coalesce(guest, F.lit(V.DEFAULT_GUEST_NAME)), F.lit(brand)
+    texts = {
+        V.TOPIC_BOOKINGS: (fill(V.CONFIRMATION_SUBJECT, number), fill(V.CONFIRMATION_BODY, name, check_in, check_out, sender)),
+        V.TOPIC_INVOICES: (fill(V.INVOICE_SUBJECT, sender, number), fill(V.INVOICE_BODY, name, number, price, sender)),
+        V.TOPIC_MARKETING: (F.lit(V.MARKETING_SUBJECT), fill(V.MARKETING_BODY, name)),
+    }
+    return {t: F.struct(to[t].alias("recipient"), subject.alias("subject"), body.alias("body")) for t, (subject, body) in texts.items()}
+
+
 def outbox(messages: DataFrame, brand: str = V.BRAND) -> DataFrame:
     """One mail per message, with the text that its topic calls for.
 
     A message that lacks a field its text needs gives a mail without that text, which is not to be sent.
     """
-    name = F.coalesce(F.col("guest_name"), F.lit(V.DEFAULT_GUEST_NAME))
-    number, sender = F.col("booking_id"), F.lit(brand)
-    confirmation = F.struct(
-        recipient().alias("recipient"),
-        fill(V.CONFIRMATION_SUBJECT, number).alias("subject"),
-        fill(V.CONFIRMATION_BODY, name, F.col("check_in"), F.col("check_out"), sender).alias("body"),
-    )
-    invoice = F.struct(
-        recipient().alias("recipient"),
-        fill(V.INVOICE_SUBJECT, sender, number).alias("subject"),
-        fill(V.INVOICE_BODY, name, number, F.col("total_price"), sender).alias("body"),
-    )
-    offer = F.struct(
-        F.coalesce("guest_email", "email").alias("recipient"),
-        F.lit(V.MARKETING_SUBJECT).alias("subject"),
-        fill(V.MARKETING_BODY, name).alias("body"),
-    )
+    to = {V.TOPIC_BOOKINGS: recipient(), V.TOPIC_INVOICES: recipient(), V.TOPIC_MARKETING: F.coalesce("guest_email", "email")}
+    mails = _mails(F.col("booking_id"), F.col("guest_name"), F.col("check_in"), F.col("check_out"), F.col("total_price"), brand, to)
     topic = F.col("topic")
-    mail = F.when(topic == V.TOPIC_BOOKINGS, confirmation).when(topic == V.TOPIC_INVOICES, invoice).otherwise(offer)
+    mail = F.when(topic == V.TOPIC_BOOKINGS, mails[V.TOPIC_BOOKINGS]).when(topic == V.TOPIC_INVOICES, mails[V.TOPIC_INVOICES]).otherwise(
+        mails[V.TOPIC_MARKETING])
     known = messages.filter(topic.isin(V.TOPICS))
     return parse(known, MAIL_FIELDS, ["topic"]).select("topic", mail.alias("mail")).select("topic", "mail.*")
 
 
+def booking_mails(bookings: DataFrame, brand: str = V.BRAND) -> DataFrame:
+    """The rows of `outbox(fan_out(bookings))`, without writing each booking into three JSON texts and reading them again."""
+    to = dict.fromkeys(V.TOPICS, F.col("email"))
+    # A message carries the price as a JSON number, whose text is that of the double.
+    mails = _mails(F.col("id"), F.col("guest_name"), X.iso_date("check_in"), X.iso_date("check_out"), _amount(), brand, to)
+    told = [F.struct(F.lit(t).alias("topic"), *(m[c].alias(c) for c in ("recipient", "subject", "body"))) for t, m in mails.items()]
+    return bookings.select(F.inline(F.array(*told)))
+
+
 def route(event_type: Column, routes: dict[str, str]) -> Column:
     """Topic of an event type; NULL for a type that no handler takes."""
     result = F.lit(None).cast("string")

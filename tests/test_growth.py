@@ -87,3 +87,15 @@ def test_the_state_holds_each_time_and_digest_once(spark, tmp_path):
     assert found == [("a", "1", 3, 20), ("b", "2", 1, 6)]
     with pytest.raises(ValueError, match="older form"):
         B.enrich(spark.createDataFrame([("a", 1)], "booking_id string, guests int"))
+
+
+def test_mails_of_bookings_are_those_of_their_messages(spark):
+    day = dt.date(2026, 1, 2)
+    given = spark.createDataFrame(
+        [("a", 1, 'J "x" \\ ż\n', "j@x.pl", "1", day, day, 1, 99999999.99), ("b", 2, None, None, None, None, day, None, None),
+         (None, None, "", "", "", day, None, 1, 0.1), ("c", 3, "N", "n@x.pl", None, day, day, 2, 12345678.0)],
+        "id string, property_id long, guest_name string, email string, phone string, check_in date, check_out date, nights int, total_price double")
+    given = given.withColumns({"total_price": F.col("total_price").cast("decimal(10,2)"), "created_at": F.lit(dt.datetime(2025, 1, 1))})
+    slow, fast = M.outbox(M.fan_out(given), "Brand"), M.booking_mails(given, "Brand")
+    assert slow.columns == fast.columns and sorted(map(repr, slow.collect())) == sorted(map(repr, fast.collect()))
+    assert not re.search("from_json|to_json", plan(contract.queries()["outbox_messages"](spark, SF)))
