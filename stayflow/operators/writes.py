@@ -45,10 +45,13 @@ def upsert(existing: DataFrame, changes: DataFrame, key: str, order: list[Column
     )
 
 
-def update_where_key(table: DataFrame, keys: DataFrame, key: str, assignments: dict[str, Column]) -> DataFrame:
-    """Assign columns on the rows whose key occurs in `keys`."""
+def update_where_key(table: DataFrame, keys: DataFrame, key: str, assignments: dict[str, Column], table_keys: DataFrame | None = None) -> DataFrame:
+    """Assign columns on the rows whose key occurs in `keys`.
+
+    table_keys: the key column of what the table is made from, so that hot keys are counted there (see `lookup_join`).
+    """
     hits = keys.select(key).distinct().withColumn("_hit", F.lit(True))
-    joined = lookup_join(table, hits, [key], "left")
+    joined = lookup_join(table, hits, [key], "left", keys=table_keys)
     new = [
         F.when(F.col("_hit"), assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c)
         for c in table.columns

@@ -133,8 +133,11 @@ def rejected_messages(spark: SparkSession, path: str) -> DataFrame:
     return ingested(spark, path).filter("NOT accepted").drop("batch", "accepted")
 
 
-def confirm(bookings: DataFrame, booking_events: DataFrame, key: str) -> DataFrame:
-    """Confirm the pending bookings that a booking event names, and mark their invoice as sent."""
+def confirm(bookings: DataFrame, booking_events: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """Confirm the pending bookings that a booking event names, and mark their invoice as sent.
+
+    keys: the key column of the table that the bookings are made from, so that they are computed once.
+    """
     return update_where_key(
-        bookings, booking_events, key, {"status": F.lit(V.STATUS_CONFIRMED), "invoice_sent": F.lit(True)}
+        bookings, booking_events, key, {"status": F.lit(V.STATUS_CONFIRMED), "invoice_sent": F.lit(True)}, keys
     )

@@ -99,3 +99,12 @@ def test_mails_of_bookings_are_those_of_their_messages(spark):
     slow, fast = M.outbox(M.fan_out(given), "Brand"), M.booking_mails(given, "Brand")
     assert slow.columns == fast.columns and sorted(map(repr, slow.collect())) == sorted(map(repr, fast.collect()))
     assert not re.search("from_json|to_json", plan(contract.queries()["outbox_messages"](spark, SF)))
+
+
+def test_confirmed_bookings_are_computed_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 10)
+    try:
+        text = plan(contract.queries()["confirm_bookings"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "_salt" in text and text.count("WindowGroupLimit") == 2
