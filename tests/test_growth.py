@@ -108,3 +108,11 @@ def test_confirmed_bookings_are_computed_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "_salt" in text and text.count("WindowGroupLimit") == 2
+
+
+def test_the_property_report_groups_only_subtotals_again(spark):
+    report = contract.queries()["property_report"](spark, SF)
+    report.collect()
+    text = plan(report)
+    assert "ReusedExchange" in text
+    assert all("status" not in line for line in text.splitlines() if "Expand" in line)
