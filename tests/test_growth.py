@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from stayflow import fixed_values as V
 from stayflow.functions import messages as M
+from stayflow.functions.privacy import encrypt_columns
 from stayflow.streaming import bookings as B
 from stayflow.streaming import requests as R
 from tests.conftest import rows
@@ -48,6 +49,48 @@ def test_all_messages_of_an_outbox_row_are_published_once(spark, tmp_path):
     assert any("08:00:00.123456" in r.value for r in sent if r.topic == V.TOPIC_BOOKINGS)
 
 
+def test_the_outbox_names_stored_files_instead_of_holding_bookings_again(spark, tmp_path):
+    home = str(tmp_path)
+    table = R.request_table(spark, f"{home}/table", buckets=4)
+    R.create_batch(table, home, RING)(request(spark, *(f"k{i}" for i in range(40))), 0)
+    kept = [r.value for r in spark.read.schema(R.OUTBOX).parquet(f"{home}/outbox").collect()]
+    files = {r.file for r in table.written("requests", 0).select(F.col("_metadata.file_path").alias("file")).collect()}
+    assert len(kept) == 40 and {v.split(" ", 1)[1] for v in kept} == files and len(set(kept)) == len(files)
+    assert not any(V.CIPHER_PREFIX in v for v in kept)
+
+
+def test_places_that_come_doubled_or_in_parts_are_published_once(spark, tmp_path):
+    home = f"{tmp_path}/a folder, 100 % + one"
+    table = R.request_table(spark, f"{home}/table", buckets=1)
+    many = request(spark, "x").drop("id").crossJoin(spark.range(40_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("id")))
+    R.create_batch(table, home, RING)(many.select(*R.COLUMNS), 0)
+    R.create_batch(table, home, RING)(request(spark, "a", "b", "k7"), 1)
+    batch = spark.read.schema(R.OUTBOX).parquet(f"{home}/outbox").select("seq", "topic", "key", "value")
+    some = batch.where(F.crc32(F.col("key").cast("binary")) % 3 == 0)
+    out = R.publish_batch(home, RING, R.topic_files(f"{home}/topics"))
+    out(some, 0)
+    told = F.col("topic") == V.TOPIC_BOOKINGS
+    assert rows(published(spark, home).where(told).select("key"), "key") == rows(some.select("key"), "key")
+    out(some.unionByName(batch).unionByName(batch), 1)
+    sent = published(spark, home)
+    assert sent.count() == sent.select("seq").distinct().count() == 3 * 40_002
+    assert sent.where(told).join(batch.select("seq", "key"), ["seq", "key"]).count() == 40_002
+
+
+def test_bookings_in_an_outbox_of_last_rounds_form_are_published(spark, tmp_path):
+    home = str(tmp_path)
+    given = request(spark, "a", "b").withColumn("nights", F.lit(2))
+    days = {c: F.unix_date(c).alias(c) for c in ("check_in", "check_out")} | {"created_at": F.unix_micros("created_at").alias("created_at")}
+    note = F.to_json(F.struct(*(days.get(c, F.col(c)) for c in (f.split(" ")[0] for f in R.NOTE.split(", ")))))
+    old = encrypt_columns(given, R.PERSONAL, RING.on(spark)).select(
+        F.when(F.col("id") == "a", 1).otherwise(4).cast("long").alias("seq"), F.lit(R.ALL).alias("topic"), F.col("id").alias("key"), note.alias("value"))
+    out = R.publish_batch(home, RING, R.topic_files(f"{home}/topics"))
+    out(old.unionByName(old), 0)
+    sent, expected = published(spark, home).collect(), M.fan_out(given).collect()
+    assert sorted(r.seq for r in sent) == list(range(1, 7))
+    assert sorted((r.topic, r.key, r.value) for r in sent) == sorted((r.topic, r.key, r.value) for r in expected)
+
+
 def test_filters_are_asked_without_moving_keys(spark, tmp_path):
     table = small_table(spark, tmp_path, filter_words=1)
     table.append(pairs(spark, *((f"k{i}", i) for i in range(40))), "s", 0)
