@@ -15,6 +15,9 @@ Words are counted per task first and then by a grouping that combines on the map
 per task. Chains of forms are followed by doubling: a form has at least twice the count, so a chain is at most some 40
 words long.
 
+No join may broadcast a side: all of them grow with the words, and Spark sizes what is filed like the stored words, though each
+stands there under eight keys.
+
 Null and empty texts have no words. Rows that repeat an id, and rows without one, are counted like others. A run as long
 as a whole text is one word. A table without words gives no rows.
 """
@@ -165,7 +168,7 @@ def tiles(words: DataFrame) -> DataFrame:
     is_longer = F.length("word") == F.col("longer")
     # A key whose words are all the shorter ones has nothing to compare: these meet as longer ones elsewhere.
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if(is_longer).alias("longs")).where("size > 1 and longs > 0")
-    shared = rows.join(sizes.select("key", "size"), "key")
+    shared = rows.join(sizes.select("key", "size").hint("merge"), "key")
     most = F.greatest(F.lit(1), F.least(F.lit(TILE), F.call_function("div", F.lit(CELLS), F.col("longer"))))
     ways = F.ceil(F.col("size") / most).cast("int")
     own = F.pmod(F.xxhash64("word"), ways).cast("int")
@@ -306,7 +309,7 @@ def group_variants(docs: DataFrame, least_points: int = 5, least_n: int = 3, one
     words = stored(count_words(docs, least_points, least_n, one_in, id_col, text_col), "words")
     near = near_words(words)
     accepted = F.col("form_n") >= F.col("n") * times
-    formed = stored(words.join(near, "word", "left").select(
+    formed = stored(words.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(accepted, F.col("form")).alias("form"), F.when(accepted, F.col("form_n")).alias("form_n")), "formed")
     # Each round replaces where a word leads by where that leads, until nothing leads on.
@@ -314,11 +317,11 @@ def group_variants(docs: DataFrame, least_points: int = 5, least_n: int = 3, one
     while True:
         onward = steps.select(F.col("word").alias("to"), F.col("to").alias("beyond"))
         turn += 1
-        moved = stored(steps.join(onward, "to", "left").select(
+        moved = stored(steps.join(onward.hint("merge"), "to", "left").select(
             "word", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), f"steps-{turn}")
         if moved.where("moved").isEmpty():
             break
         steps = moved.select("word", "to")
     roots = moved.select("word", F.col("to").alias("root"))
-    return formed.join(roots, "word", "left").select(
+    return formed.join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
